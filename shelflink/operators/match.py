@@ -58,7 +58,7 @@ def score_rows(
         F.explode_outer(
             F.expr(
                 "flatten(transform(query_forms, (q, i) -> transform(forms, (f, j) ->"
-                " named_struct('qpos', q.pos, 'query', q.query, 'a', q.form, 'b', f, 'ord', i * 16 + j))))"
+                " named_struct('qpos', q.pos, 'qtext', q.query, 'a', q.form, 'b', f, 'ord', i * 16 + j))))"
             )
         ),
     )
@@ -75,7 +75,7 @@ def score_rows(
         F.any_value(F.expr("query_forms[0].query")).alias("_first_query"),
         *[F.any_value(c).alias(c) for c in payload],
         F.max_by(
-            F.struct("_adjusted", F.col("score").alias("raw"), "method", "query"),
+            F.struct("_adjusted", F.col("score").alias("raw"), "method", F.col("qtext").alias("query")),
             F.struct("_adjusted", -F.col("ord")),
         ).alias("_best"),
     )
