@@ -231,3 +231,8 @@ def short_hash(value: Sql, length: int = 8) -> Sql:
 
     hashed = let(f"hex(encode({text(value)}, 'UTF-16BE'))", digest)
     return f"left(lpad(lower(hex({hashed})), 8, '0'), {length})"
+
+
+def lines_of(value: Sql) -> Sql:
+    """Array of (line, content), lines counted from one."""
+    return f"transform(split({text(value)}, '\\n', -1), (l, i) -> named_struct('line', i + 1, 'content', l))"

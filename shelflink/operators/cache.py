@@ -36,19 +36,35 @@ def lookup(requests: DataFrame, entries: DataFrame, cfg: Config = DEFAULTS) -> D
     )
 
 
-def replay_log(log: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Which lookups of a log ``(cache_key, ts, n_items)`` hit: an entry is written by a
-    lookup that was not served and lives from then on, so hits depend on the chain of
-    earlier refreshes.  Lookups are cut into runs at gaps no entry can survive; within
-    a run a short fold finds the refresh points."""
-    order = Window.partitionBy("cache_key").orderBy("ts", "event_id")
-    # an unserved lookup refreshes; served ones do not extend the lifetime
-    gap = F.expr("unix_micros(ts) - lag(unix_micros(ts)) over (partition by cache_key order by ts, event_id)")
-    runs = log.withColumn("_gap", gap).withColumn(
-        "run",
-        F.sum(F.expr(f"if(_gap is null or _gap > {cfg.hit_ttl_s * 1_000_000}L, 1, 0)")).over(order),
+def lookup_log(lookups: DataFrame, writes: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """``lookups(cache_key, ts, ...)`` against the write log ``writes(cache_key, at,
+    n_items)``: each lookup sees the last write at or before it.
+
+    No entry outlives ``hit_ttl_s``, so the write that matters lies in the lookup's time
+    bucket of that length or in the one before.  Writes are copied into the next bucket
+    and the window is per key *and* bucket: a key that fills the log is still cut into
+    bounded pieces."""
+    bucket = f"floor(unix_seconds({{t}}) / {cfg.hit_ttl_s})"
+    asked = lookups.withColumn("_b", F.expr(bucket.format(t="ts"))).withColumns(
+        {"_is_write": F.lit(0), "_at": F.col("ts"), "_w": F.expr("cast(null as struct<at:timestamp,n_items:int>)")}
+    )
+    written = writes.select(
+        "cache_key",
+        F.explode(F.expr(f"array({bucket.format(t='at')}, {bucket.format(t='at')} + 1)")).alias("_b"),
+        F.lit(1).alias("_is_write"),
+        F.col("at").alias("_at"),
+        F.expr("named_struct('at', at, 'n_items', cast(n_items as int))").alias("_w"),
+    )
+    order = Window.partitionBy("cache_key", "_b").orderBy("_at", F.desc("_is_write"), "_w.n_items")
+    both = asked.unionByName(written, allowMissingColumns=True)
+    seen = both.withColumn("_w", F.last("_w", ignorenulls=True).over(order)).where("_is_write = 0")
+    live = f"coalesce(unix_micros(ts) - unix_micros(_w.at) <= {time_to_live('_w.n_items', cfg)} * 1000000L, false)"
+    served = live if cfg.serve_negative else f"({live} and _w.n_items > 0)"
+    return (
+        seen.withColumn("entry_found", F.expr(live))
+        .withColumn("cache_hit", F.expr(served))
+        .drop("_b", "_is_write", "_at", "_w")
     )
-    return runs.drop("_gap")
 
 
 def within_capacity(entries: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
