@@ -29,6 +29,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with ``ts`` as an instant (the files carry UTC wall-clock times), so no
+    result depends on the session's time zone."""
+    instant = "timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))"
+    return table(spark, sf_dir, "events").withColumn("ts", F.expr(instant))
+
+
 _shared: dict[tuple, DataFrame] = {}
 
 
