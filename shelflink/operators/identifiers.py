@@ -67,29 +67,39 @@ def position(content: str, regex: str, index: str) -> str:
     return f"1 + aggregate({before}, 0, (n, g) -> n + length(g))"
 
 
+SMALL_DENY_LIST = 10_000
+
+
 def denied(lines: DataFrame, deny: DataFrame, key: str) -> DataFrame:
     """Lines that contain a deny entry, ignoring case, with the entry's first column.
 
     A line contains an entry only if the entry's first ``g`` characters (``g`` = 8, or
-    its length) start somewhere in the line: both sides are joined on those characters
-    and only then compared in full."""
+    its length) start somewhere in the line.  Up to ``SMALL_DENY_LIST`` such starts are
+    tested as a hash set inside the row, so only hits are joined; a longer list is
+    joined on every position of every line instead.  Both ways are exact."""
     entries = (
         deny.select("entry", F.lower("entry").alias("_e"))
         .where("length(_e) > 0")
         .distinct()
-        .withColumn("_g", F.expr("least(8, length(_e))"))
         .withColumn("_gram", F.expr("left(_e, 8)"))
     )
-    lengths = [r._g for r in entries.select("_g").distinct().collect()]  # at most eight numbers
-    if not lengths:
+    sizes = [r.g for r in entries.select(F.length("_gram").alias("g")).distinct().collect()]  # 1 to 8
+    starts = [r._gram for r in entries.select("_gram").distinct().limit(SMALL_DENY_LIST + 1).collect()]
+    if not starts:
         return lines.limit(0).selectExpr(key, "line", "0 as column", "'denylisted' as kind", "content as match")
-    grams = "array_distinct(flatten(transform({ls}, g -> if(length(_low) < g, cast(array() as array<string>), transform(sequence(1, length(_low) - g + 1), i -> substr(_low, i, g))))))".format(
-        ls="array(" + ", ".join(map(str, sorted(lengths))) + ")"
+    small = len(starts) <= SMALL_DENY_LIST
+    few = small and entries.limit(SMALL_DENY_LIST + 1).count() <= SMALL_DENY_LIST
+    sizes_sql = "array(" + ", ".join(map(str, sorted(sizes))) + ")"
+    windows = "transform(sequence(1, length(_low) - g + 1), i -> substr(_low, i, g))"
+    if small:
+        windows = f"filter({windows}, w -> w in ({', '.join(quote(g) for g in starts)}))"
+    grams = (
+        f"array_distinct(flatten(transform({sizes_sql}, g -> if(length(_low) < g,"
+        f" cast(array() as array<string>), {windows}))))"
     )
-    low = lines.withColumn("_low", F.lower("content"))
+    met = lines.withColumn("_low", F.lower("content")).withColumn("_gram", F.explode(F.expr(grams)))
     return (
-        low.withColumn("_gram", F.explode(F.expr(grams)))
-        .join(entries, "_gram")
+        met.join(F.broadcast(entries) if few else entries, "_gram")
         .where("contains(_low, _e)")
         .select(key, "line", F.expr("locate(_e, _low)").alias("column"), F.lit("denylisted").alias("kind"), F.col("entry").alias("match"))
     )

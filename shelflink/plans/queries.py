@@ -540,7 +540,7 @@ def current_results(spark, sf_dir):
 
 @query(
     "settled_pages",
-    """WITH e AS (SELECT user_id AS tab, epoch_ms(ts) AS ms, event_type = 'view' AS is_url, CAST(json_extract(props, '$.k') AS INT) AS k,
+    """WITH e AS (SELECT user_id AS tab, epoch_us(ts) // 1000 AS ms, event_type = 'view' AS is_url, CAST(json_extract(props, '$.k') AS INT) AS k,
       CASE WHEN event_type <> 'view' THEN event_id END AS sig FROM events),
     p AS (SELECT *, last_value(CASE WHEN is_url THEN k END IGNORE NULLS) OVER (PARTITION BY tab ORDER BY ms, is_url DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
     m AS (SELECT *, is_url AND (prev IS NULL OR prev <> k) AS nav FROM p),
