@@ -181,8 +181,8 @@ def merge_captures(log: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
         .withColumn("_n", F.row_number().over(recent))
         .where(F.col("_n") <= cfg.max_observations)
         .groupBy("page_key")
-        .agg(F.sort_array(F.collect_list(F.struct(-F.col("_n"), "_o"))).alias("_obs"))
-        .select("page_key", F.expr("transform(_obs, o -> o._o)").alias("observations"))
+        .agg(F.collect_list(F.struct("_n", "_o")).alias("_obs"))
+        .select("page_key", F.expr("transform(array_sort(_obs, (a, b) -> b._n - a._n), o -> o._o)").alias("observations"))
     )
     keep_first = ["id", "novelty", "origin", "url_pattern"]
     latest = [c for c in log.columns if c not in (*keep_first, "page_key", "verdict", "note", "results")]

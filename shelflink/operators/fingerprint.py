@@ -173,7 +173,8 @@ def novelty_message(verdict: Sql) -> Sql:
 
 def novelty(captures: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Adds ``novelty`` = (score, max_similarity, verdict, similar_to) of each capture
-    ``(capture_no, features)`` against every capture with a smaller number.
+    ``(capture_no, features)`` against every capture with a smaller number;
+    ``similar_to`` names the first capture of each structure that is close enough.
 
     Ten bounded features allow at most 15 360 different structures, so captures are
     first reduced to structures with their first sighting.  A later capture of a known
@@ -211,16 +212,17 @@ def novelty(captures: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     agreed = "aggregate(zip_with(_t, _u, (a, b) -> a = b), named_struct('m', 0, 'i', 0), (s, e) -> named_struct('m', if(e, s.m | (1 << s.i), s.m), 'i', s.i + 1), s -> s.m)"
     similar = (
         near.join(other, ["mask", "part"])
-        .where(f"_no < first_no and mask = {agreed}")
+        .where(f"mask = {agreed} and _no <> first_no")
         .groupBy("_t")
         .agg(
             F.array_sort(
-                F.collect_list(F.struct(F.col("_no").alias("capture_no"), F.round(F.col("w") / TOTAL_WEIGHT, 3).alias("similarity")))
+                F.collect_list(F.struct(F.col("_no").cast("bigint").alias("capture_no"), F.round(F.col("w") / TOTAL_WEIGHT, 3).alias("similarity")))
             ).alias("_similar")
         )
     )
     scored = best.join(similar, "_t", "left")
     first = "capture_no = first_no"
+    nothing = "cast(array() as array<struct<capture_no:bigint,similarity:double>>)"
     score = f"if({first}, cast(floor((1 - _w / {TOTAL_WEIGHT}D) * 100 + 0.5D) as int), 0)"
     return (
         keyed.join(F.broadcast(scored), "_t")  # at most 15 360 rows by construction
@@ -230,9 +232,8 @@ def novelty(captures: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
                 let(
                     score,
                     lambda s: f"named_struct('score', {s}, 'max_similarity', if({first}, round(_w / {TOTAL_WEIGHT}D, 3), 1D),"
-                    f" 'verdict', {novelty_verdict(s)}, 'similar_to', concat(if({first}, cast(array() as"
-                    " array<struct<capture_no:bigint,similarity:double>>), array(named_struct('capture_no', cast(first_no as bigint), 'similarity', 1D))),"
-                    " coalesce(_similar, cast(array() as array<struct<capture_no:bigint,similarity:double>>))))",
+                    f" 'verdict', {novelty_verdict(s)}, 'similar_to', filter(concat(array(named_struct('capture_no', cast(first_no as bigint),"
+                    f" 'similarity', 1D)), coalesce(_similar, {nothing})), x -> x.capture_no < capture_no))",
                 )
             ),
         )

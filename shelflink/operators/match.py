@@ -49,9 +49,10 @@ def score_rows(
     """Best score of every row over all (query form, title form) pairs.
 
     ``rows`` carries ``query_forms``, ``forms``, ``title_nfkc`` and ``chapter_hint``.
-    A row has at most 2 queries x 3 forms x 3 title forms, so the pairs are exploded
-    and folded back inside the partitions the caller already hashed by ``keys[0]``.
-    Of equal scores the first pair wins; penalties push fallback queries back.
+    A row has at most 2 queries x 3 forms x 3 title forms.  All pairs of a row are
+    exploded in the task that holds the row, so the map-side combine folds them back
+    before the shuffle.  Of equal scores the first pair wins; penalties push fallback
+    queries back.
     """
     pairs = rows.withColumn(
         "_pair",
@@ -103,7 +104,7 @@ def rank_candidates(hits: DataFrame, key: str = "request_id", cfg: Config = DEFA
     ``key, pos, title, score, method, matched_query, rank`` (score desc, pos asc)."""
     payload = [c for c in hits.columns if c not in (key, "pos", "queries", "chapter_hint")]
     prepared = with_query_forms(with_item_forms(hits))
-    scored = score_rows(prepared.repartition(key), [key, "pos"], payload, cfg)
+    scored = score_rows(prepared, [key, "pos"], payload, cfg)
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))
     return scored.withColumn("rank", F.row_number().over(order))
 

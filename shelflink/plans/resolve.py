@@ -2,9 +2,9 @@
 
 Pages that search the same words get the same answer, so the work is done once per
 distinct request (query list + chapter hint) and joined back: a title shared by a
-third of all pages costs one search.  After the single join with the search answers
-the rows are hashed by ``request_id`` once; every window and aggregation below is
-partitioned by that column, so none of them shuffles again.
+third of all pages costs one search.  Once the rows are scored (a Python stage forgets
+how its input was partitioned) they are hashed by ``request_id`` once; every window and
+aggregation after that is partitioned by that column, so none of them shuffles again.
 """
 
 from __future__ import annotations
@@ -183,13 +183,13 @@ STORE_FIELDS = [
 
 def store_answers(requests, search_items, search_steps=None, cached=None, cfg: Config = DEFAULTS) -> DataFrame:
     """One row per request and store, every store asked (no cross-store stop yet)."""
-    rows = _with_answers(requests, search_items, search_steps, cached, cfg).repartition("request_id")
+    rows = _with_answers(requests, search_items, search_steps, cached, cfg)
     keys = ["request_id", "store", "step_ord", "pos"]
     payload = [
         "store_rank", "tier", "step_id", "query", "http_status", "ok", "step_reason", "from_cache",
         "cache_entry_found", "item",
     ]
-    scored = M.score_rows(rows, keys, payload, cfg)
+    scored = M.score_rows(rows, keys, payload, cfg).repartition("request_id")
     ran = _executed(scored.withColumn("score", F.expr("if(item is null, null, score)")), cfg)
     store = ["request_id", "store"]
     step_head = F.row_number().over(Window.partitionBy(*store, "step_ord").orderBy("pos"))
