@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Config
@@ -72,35 +72,31 @@ DETAIL_URL = (
 STRONG = ("chapter-marker-in-title", "chapter-marker-in-page", "structured-data-book", "gallery-structure")
 
 
-def denied_hosts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h,) for h in DENIED_HOSTS], "denied string")
+def on_denied_hosts(pages: DataFrame, host: str = "host", denied: DataFrame | None = None) -> DataFrame:
+    """Pages whose host equals a deny entry or is a subdomain of one.  The built-in list
+    is a predicate inside the scan; another list is a table ``denied(entry)``."""
+    if denied is None:
+        return pages.where(is_denied_host(host))
+    return _by_entry(pages, host, denied, "left_semi")
 
 
-def _with_suffix(pages: DataFrame, host: str) -> DataFrame:
-    return pages.withColumn("_suffixes", F.expr(U.host_suffixes(f"lower({host})")))
+def off_denied_hosts(pages: DataFrame, host: str = "host", denied: DataFrame | None = None) -> DataFrame:
+    if denied is None:
+        return pages.where(f"not {is_denied_host(host)}")
+    return _by_entry(pages, host, denied, "left_anti")
 
 
-def on_denied_hosts(pages: DataFrame, host: str = "host") -> DataFrame:
-    """Pages whose host equals a deny entry or is a subdomain of one."""
-    return _split_by_host(pages, host, "left_semi")
-
-
-def off_denied_hosts(pages: DataFrame, host: str = "host") -> DataFrame:
-    return _split_by_host(pages, host, "left_anti")
-
-
-def _split_by_host(pages: DataFrame, host: str, how: str) -> DataFrame:
-    """The deny list has 53 fixed rows, so the distinct hosts are tested against it by
-    a broadcast equality join on host suffixes, and pages by their host."""
-    suffixes = pages.select(F.col(host).alias("_host")).distinct()
+def _by_entry(pages: DataFrame, host: str, denied: DataFrame, how: str) -> DataFrame:
+    """Distinct hosts meet the deny table by an equality join on their suffixes, so the
+    suffixes are built once per host, not once per page."""
+    hosts = pages.select(F.lower(host).alias("_host")).distinct()
     hit = (
-        _with_suffix(suffixes, "_host")
-        .select("_host", F.explode("_suffixes").alias("denied"))
-        .join(F.broadcast(denied_hosts(pages.sparkSession)), "denied", "left_semi")
+        hosts.withColumn("entry", F.explode(F.expr(U.host_suffixes("_host"))))
+        .join(denied.select(F.lower("entry").alias("entry")), "entry", "left_semi")
         .select("_host")
         .distinct()
     )
-    return pages.join(hit, pages[host] == hit["_host"], how)
+    return pages.join(hit, F.lower(pages[host]) == hit["_host"], how)
 
 
 def is_denied_host(host: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Config
 from ..functions import text as X
 from ..functions import titles as T
-from ..functions.sql import case, let
+from ..functions.sql import case, let, quote
 
 
 def clean_titles(titles: DataFrame, raw: str = "raw", host: str = "host") -> DataFrame:
@@ -41,17 +41,16 @@ def _heading_sources() -> str:
         f" (x, i) -> {_source(f'concat({chr(39)}{name}[{chr(39)}, i, {chr(39)}]{chr(39)})', f'{weight}D - i * 0.1D', 'x')})"
         for name, weight in (("h1", 3.0), ("h2", 2.6), ("h3", 2.0))
     )
-    unique = "(s, i) -> array_position(transform(hs, o -> o.value), s.value) = i + 1"
     both = f"if(size(headings) > 0, {levelled}, concat({plain}))"
-    return let(both, lambda hs: f"filter({hs}, {unique.replace('hs,', hs + ',')})")
+    return let(both, lambda hs: f"filter({hs}, (s, i) -> array_position(transform({hs}, o -> o.value), s.value) = i + 1)")
 
 
 def title_sources(page_info: DataFrame) -> DataFrame:
     """Adds ``sources``: every usable title of the page with its cleaned form and
     score, best first, ties in page order; and ``title_nfkc`` for the search forms."""
     raw_sources = (
-        f"filter(concat(array({_source(quote_('title'), '4.5', 'title')}), {_heading_sources()},"
-        f" array({_source(quote_('og:title'), '2.5', 'og_title')}, {_source(quote_('json-ld'), '2', 'json_ld_name')})),"
+        f"filter(concat(array({_source(quote('title'), '4.5', 'title')}), {_heading_sources()},"
+        f" array({_source(quote('og:title'), '2.5', 'og_title')}, {_source(quote('json-ld'), '2', 'json_ld_name')})),"
         f" s -> {X.trim_blanks(X.text('s.value'))} <> '')"
     )
     raw = page_info.withColumn("_sources", F.expr(raw_sources)).withColumn(
@@ -60,7 +59,7 @@ def title_sources(page_info: DataFrame) -> DataFrame:
     )
     normalized = raw.withColumns({"_nfkc": X.nfkc_each("_raw"), "title_nfkc": X.nfkc("title")})
     cleaned = normalized.withColumn(
-        "_clean", F.expr(f"transform(_raw, (r, i) -> {T.clean_title('r', '_nfkc[i]', 'lower(coalesce(host, {}))'.format(quote_('')))})")
+        "_clean", F.expr(f"transform(_raw, (r, i) -> {T.clean_title('r', '_nfkc[i]', 'lower(coalesce(host, {}))'.format(quote('')))})")
     )
     value = X.collapse_spaces(X.decode_entities("s.value"))
     bonus = case(("c.confidence = 'high'", "2D"), ("c.confidence = 'medium'", "1D"), default="0D")
@@ -80,10 +79,6 @@ def title_sources(page_info: DataFrame) -> DataFrame:
     ).drop("_sources", "_raw", "_nfkc", "_clean")
 
 
-def quote_(value: str) -> str:
-    return f"'{value}'"
-
-
 def work_titles(page_info: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Adds ``extraction`` (title, confidence, variants, ...) and ``artists``."""
     ranked = title_sources(page_info)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Config
-from .captures import FAIL, LIMITATION, PASS, RESULT_FIELDS, failed_fields, failure_id, is_failure
+from .captures import FAIL, LIMITATION, PASS, failed_fields, failure_id, is_failure
 from .fingerprint import novelty_verdict
 
 
@@ -141,5 +141,3 @@ def latest_errors(log: DataFrame, keys: list[str]) -> DataFrame:
         .select(*keys, "error.at", "error.message")
     )
 
-
-RESULTS = RESULT_FIELDS

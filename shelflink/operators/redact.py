@@ -58,7 +58,10 @@ def redact(captures: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Captures with every text replaced by its placeholder and the address columns
     dropped.  The dictionary grows with the data, so it is joined, never broadcast by
     hand; the texts of a capture (at most 19) are folded back per capture."""
-    slots = captures.select("capture_no", F.posexplode(F.expr(_TEXTS)).alias("_slot", "value"))
+    slots = captures.select("capture_no", F.posexplode(F.expr(_TEXTS)).alias("_slot", "_v")).withColumn(
+        # empty texts have no entry; give each its own key so they do not meet in one task
+        "value", F.expr("coalesce(nullif(_v, ''), concat('\\u0000', capture_no))")
+    )
     labelled = (
         slots.join(dictionary.select("value", "label"), "value", "left")
         .groupBy("capture_no")

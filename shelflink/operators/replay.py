@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Config
 from ..functions.sql import case
-from .captures import FAIL, LIMITATION, NOT_TESTED, PASS, RESULT_FIELDS, failed_fields, grade_of, verdict
+from .captures import FAIL, LIMITATION, NOT_TESTED, PASS, failed_fields, grade_of, verdict
 from .quality import verdict_counts
 
 STRUCTURE = ["page_type", "h1", "og_title", "json_ld", "gallery_info", "many_images", "spa_navigation"]
@@ -40,7 +40,7 @@ def replay(cases: DataFrame, states: DataFrame, cfg: Config = DEFAULTS) -> DataF
     joined = cases.join(actual, "page_id", "left").withColumn("grade", F.expr(grade_of("status")))
     e = "expected."
     recognized = "status <> 'unrecognized'"
-    has_title = "coalesce(_cleaned, '') <> '' and status not in ('unrecognized') or coalesce(_cleaned, '') <> ''"
+    has_title = "coalesce(_cleaned, '') <> ''"
     budget = f"coalesce({e}max_requests, if({recognized}, {cfg.budget_work_page}, {cfg.budget_other_page}))"
     values = {
         "pageRecognition": _compare(f"{e}page_recognition", recognized),
@@ -93,9 +93,8 @@ def replay(cases: DataFrame, states: DataFrame, cfg: Config = DEFAULTS) -> DataF
         judged.withColumn("verdict", F.expr(outcome))
         .withColumn("failed_fields", F.expr("if(size(mismatches) > 0, array_union(failed_fields, array('structure')), failed_fields)"))
         .withColumn("failure_id", F.expr(f"if(verdict = '{FAIL}', format_string('FAIL-%03d', cast(regexp_extract(id, '([0-9]+)$', 1) as bigint)), null)"))
-        .withColumn("category_dir", F.col("dir"))
         .select(
-            "id", F.col("category_dir").alias("dir"), "page_id", "verdict", "results", "failed_fields", "mismatches", "failure_id",
+            "id", "dir", "page_id", "verdict", "results", "failed_fields", "mismatches", "failure_id",
             "grade", "fingerprint", "requests", "repeat_requests",
         )
     )
@@ -122,5 +121,3 @@ def replay_summary(results: DataFrame) -> DataFrame:
         .agg(*_totals())
     )
 
-
-FIELDS = RESULT_FIELDS

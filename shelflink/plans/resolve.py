@@ -224,7 +224,6 @@ def store_answers(requests, search_items, search_steps=None, cached=None, cfg: C
     )
     grade = M.grade("get(_top, 0).score", "get(_top, 1).score", cfg)
     shown = f"filter(slice(_top, 1, {cfg.max_candidates}), x -> x.score >= {cfg.min_candidate})"
-    none = "cast(array() as " + "{t})"
     graded = rolled.withColumn("_grade", F.expr(grade))
     kind = case(
         ("_age > 0 and item_count = 0", "'age_check'"),
@@ -334,7 +333,13 @@ def resolve(
     keyed = with_requests(pages)
     answers = answer_requests(distinct_requests(keyed), search_items, search_steps, cached, cfg)
     answered = answers.withColumnRenamed("status", "_status")
-    joined = keyed.join(answered, "request_id", "left")
+    # pages without a search have no request: spread them instead of joining on null
+    spread_key = F.expr("coalesce(request_id, concat('none:', page_id))")
+    joined = (
+        keyed.withColumn("_key", spread_key)
+        .join(answered.withColumnRenamed("request_id", "_key"), "_key", "left")
+        .drop("_key")
+    )
     status = case(
         ("not allowed or extraction.cleaned_title = '' or extraction.confidence = 'low'", "'unrecognized'"),
         default="coalesce(_status, 'no_result')",

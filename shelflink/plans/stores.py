@@ -13,13 +13,13 @@ from ..functions.sql import Sql, quote
 
 @dataclass(frozen=True)
 class Store:
-    """A store: its steps are (step id, tier); ``parse`` maps the responses of this
-    store to item rows and is found through :func:`register`."""
+    """A store: its steps are (step id, tier); ``parse`` is a pair of SQL-text functions,
+    body -> array of items and (body, number of items) -> reason."""
 
     id: str
     label: str
     steps: tuple[tuple[str, int], ...]
-    parse: Callable[[DataFrame], DataFrame] | None = None
+    parse: tuple[Callable[[Sql, int], Sql], Callable[[Sql, Sql], Sql]] | None = None
     age_check_url: str = ""
     empty_note: str = ""
 

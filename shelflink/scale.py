@@ -30,6 +30,31 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carry_last(df: DataFrame, key: str, order: list[str], bucket: str, values: dict[str, str]) -> DataFrame:
+    """Adds, for each ``name: column``, the last non-null ``column`` of the same ``key``
+    strictly before the row (rows ordered by ``order``, whose first column also decides
+    the ``bucket`` expression).
+
+    A plain window per key would put a hot key into one task.  Here windows run per key
+    and bucket; what earlier buckets leave behind is one row per key and bucket, carried
+    forward in a second, far smaller window."""
+    cut = df.withColumn("_bucket", F.expr(bucket))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.struct(*order)
+    left_behind = cut.groupBy(key, "_bucket").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_l_{n}") for n, c in values.items()]
+    )
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left_behind.select(
+        key, "_bucket", *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values]
+    )
+    seen = cut.withColumns({f"_i_{n}": F.last(c, ignorenulls=True).over(inside) for n, c in values.items()})
+    joined = seen.join(carried, [key, "_bucket"])
+    return joined.withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in values}).drop(
+        "_bucket", *[f"_i_{n}" for n in values], *[f"_c_{n}" for n in values]
+    )
+
+
 def number_rows(df: DataFrame, order: str, name: str, buckets: int = 1024) -> DataFrame:
     """Adds 1, 2, 3, ... in the order of the unique numeric column ``order``.
 

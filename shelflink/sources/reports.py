@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sql import case
 from ..operators import quality as Q
-from ..operators.captures import FAIL, failed_fields, failure_id, is_failure
+from ..operators.captures import failed_fields, failure_id, is_failure
 from ..operators.fingerprint import category_dir_of
 from ..operators.redact import redact, redaction_dictionary, values_of
 
@@ -197,5 +197,3 @@ def export_names(exports: DataFrame, days_kept: int = 3) -> DataFrame:
         .withColumn("file_name", F.expr(f"format_string('%s-%s-%03d.json', {base}, day, seq)"))
     )
 
-
-FAILED = FAIL

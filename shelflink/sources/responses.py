@@ -8,7 +8,7 @@ items, so first-id-wins and the cut need no shuffle, and bodies never travel.
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +49,7 @@ ITEM_DDL = (
     " price_text string, currency string, is_free boolean, original_price int, original_price_text string,"
     " discount_label string, labels array<string>, approx_cny int, image_url string, age_rating int"
 )
+ITEM_TYPE = ", ".join(":".join(f.strip().split(" ")) for f in ITEM_DDL.split(","))
 _FIELDS = [tuple(f.strip().split(" ")) for f in ITEM_DDL.split(",")]
 
 
@@ -260,7 +261,7 @@ def items_e(body: Sql, limit: int) -> Sql:
         shown = collapse_spaces(decode_entities(strip_tags(grab(piece, link, 2))))
         title = let(shown, lambda t: collapse_spaces(f"coalesce(nullif({grab(t, r'「([^」]+)」')}, ''), {t})"))
         circle = let(
-            grab(f"left({rest}, 900)", r'(?is)href="/fanclubs/[0-9]+"[^>]*>(.{0,140}?)</a>'),
+            grab(rest, r'(?is)href="/fanclubs/[0-9]+"[^>]*>(.{0,140}?)</a>'),
             lambda c: collapse_spaces(decode_entities(strip_tags(c))),
         )
         made = let(
@@ -277,9 +278,9 @@ def items_e(body: Sql, limit: int) -> Sql:
         return let(made, lambda m: f"if({m}.product_id = '' or length({m}.title) < 2, null, {m})")
 
     def walk(ps: Sql) -> Sql:
-        tail = f"array_join(slice({ps}, i + 1, size({ps})), '')"
-        rest = f"substr({tail}, length({grab('p', r'(?is)^(href="/posts/[0-9]+"[^>]*>.{0,400}?</a>)')}) + 1)"
-        return f"transform({ps}, (p, i) -> {one('p', rest)})"
+        before = f"aggregate(slice({ps}, 1, i), 0, (n, x) -> n + length(x))"
+        matched = f"length({grab('p', r'(?is)^(href="/posts/[0-9]+"[^>]*>.{0,400}?</a>)')})"
+        return f"transform({ps}, (p, i) -> {one('p', f'substr({body}, {before} + {matched} + 1, 900)')})"
 
     return _first_wins(let(pieces, walk), None)
 
@@ -347,40 +348,37 @@ def reason_e(body: Sql, n: Sql) -> Sql:
     )
 
 
-def _parser(items, reason, limit: int):
-    """A store's parser: adds ``items`` and ``reason`` to its responses."""
-
-    def parse(responses: DataFrame) -> DataFrame:
-        body = responses.withColumn("body", F.coalesce("body", F.lit("")))
-        found = body.withColumn("_found", F.expr(items("body", limit)))
-        judged = found.withColumn("reason", F.expr(reason("body", "size(_found)")))
-        return judged.withColumn("items", F.expr("if(reason = 'ok', _found, slice(_found, 1, 0))")).drop("_found")
-
-    return parse
-
-
-_PARSERS = {
+for _id, _parse in {
     "dlsite": (items_a, reason_a),
     "fanza": (items_b, reason_b),
     "melonbooks": (items_c, reason_c),
     "pixiv": (items_d, reason_d),
     "fantia": (items_e, reason_e),
-}
-for _id, (_items, _reason) in _PARSERS.items():
-    P.register(replace(P.store(_id), parse=_parser(_items, _reason, DEFAULTS.items_per_step)))
+}.items():
+    P.register(replace(P.store(_id), parse=_parse))
 
 
 def parse_responses(responses: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Responses with ``items``, ``reason``, ``ok`` and ``item_count``; one branch per
-    registered store, every branch a filter on ``store`` that reaches the scan."""
-    branches = [
-        s.parse(responses.where(F.col("store") == s.id)).drop("body")
-        for s in P.stores()
-        if s.parse is not None and s.id in cfg.stores
-    ]
-    parsed = reduce(DataFrame.unionByName, branches)
-    return parsed.withColumn("ok", F.col("reason").isin("ok", "not-found")).withColumn(
-        "item_count", F.size("items")
+    """Responses with ``items``, ``reason``, ``ok`` and ``item_count``, in one pass over
+    the table: a row only runs the rules of its own store."""
+    known = [s for s in P.stores() if s.parse is not None and s.id in cfg.stores]
+    names = ", ".join(quote(s.id) for s in known)
+    none = f"cast(array() as array<struct<{ITEM_TYPE}>>)"
+    found = case(
+        *[(f"store = {quote(s.id)}", s.parse[0]("body", cfg.items_per_step)) for s in known], default=none
+    )
+    reason = case(*[(f"store = {quote(s.id)}", s.parse[1]("body", "size(_found)")) for s in known])
+    read = (
+        responses.where(f"store in ({names})")
+        .withColumn("body", F.coalesce("body", F.lit("")))
+        .withColumn("_found", F.expr(found))
+        .withColumn("reason", F.expr(reason))
+    )
+    return (
+        read.withColumn("items", F.expr("if(reason = 'ok', _found, slice(_found, 1, 0))"))
+        .withColumn("ok", F.col("reason").isin("ok", "not-found"))
+        .withColumn("item_count", F.size("items"))
+        .drop("body", "_found")
     )
 
 

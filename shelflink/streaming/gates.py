@@ -9,6 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULTS, Config
 from ..functions import urls as U
+from ..scale import carry_last
 
 SETTLED = "tab bigint, url string, signature string, navigated_at timestamp, settled_at timestamp, reason string"
 _STATE = "url string, signature string, before string, started bigint, mutated bigint, waiting boolean"
@@ -79,53 +80,65 @@ def settle_gate(snapshots: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def settled_pages(snapshots: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Batch twin of :func:`settle_gate`: windows per tab and navigation, no Python."""
-    tab = Window.partitionBy("tab").orderBy("at", F.desc("kind"))
+    """Batch twin of :func:`settle_gate`, without Python.
+
+    Only the events within the deadline after a navigation decide it, and what was
+    shown before is carried across hour buckets, so no group grows with the life of a
+    tab."""
+    hour = "floor(at / 3600000)"
+    # at one instant the address change comes first
     events = _prepared(snapshots).withColumns(
-        {"_url": F.expr("if(kind = 'url', page, null)"), "_sig": F.expr("if(kind <> 'url', nullif(signature, ''), null)")}
-    )
-    shown = events.withColumn("_prev", F.last("_url", ignorenulls=True).over(tab.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = shown.withColumn("_nav", F.expr("cast(kind = 'url' and (_prev is null or page <> _prev) as int)")).withColumns(
-        {
-            "_n": F.sum("_nav").over(tab),
-            "_now": F.last("_sig", ignorenulls=True).over(tab),
-            "_before": F.last("_sig", ignorenulls=True).over(tab.rowsBetween(Window.unboundedPreceding, -1)),
-        }
-    ).where("_n > 0 and (_nav = 1 or kind <> 'url')")
-    nav = Window.partitionBy("tab", "_n").orderBy("at", F.desc("_nav"))
-    whole = Window.partitionBy("tab", "_n")
-    steps = marked.withColumns(
         {
-            "_start": F.min(F.expr("if(_nav = 1, at, null)")).over(whole),
-            "_page": F.max(F.expr("if(_nav = 1, page, null)")).over(whole),
-            "_old": F.coalesce(F.max(F.expr("if(_nav = 1, _before, null)")).over(whole), F.lit("")),
-            "_next": F.lead("at").over(nav),
+            "_url": F.expr("if(kind = 'url', page, null)"),
+            "_sig": F.expr("if(kind <> 'url', nullif(signature, ''), null)"),
+            "_late": F.expr("if(kind = 'url', 0, 1)"),
         }
     )
-    # quiet moments: this event, then nothing for the quiet time
-    calm = f"at + {cfg.settle_quiet_ms}"
-    settled = (
-        f"(_next is null or _next > {calm}) and _now is not null and _now <> _old"
-        f" and {calm} <= _start + {cfg.settle_deadline_ms}"
+    shown = carry_last(events, "tab", ["at", "_late"], hour, {"_prev": "_url", "_before": "_sig"})
+    marked = shown.withColumn(
+        "_nav",
+        F.expr(
+            "if(kind = 'url' and (_prev is null or page <> _prev),"
+            " named_struct('start', at, 'url', page, 'old', coalesce(_before, '')), null)"
+        ),
     )
-    limit = f"_start + {cfg.settle_deadline_ms}"
-    per_nav = steps.groupBy("tab", "_n").agg(
-        F.first("_page").alias("url"),
-        F.first("_start").alias("_start"),
-        F.min(F.expr(f"if({settled}, {calm}, null)")).alias("_calm"),
-        F.min_by("_now", F.expr(f"if({settled}, {calm}, null)")).alias("_calm_sig"),
-        F.max_by("_now", F.expr(f"if(at <= {limit}, struct(at, -_nav), null)")).alias("_limit_sig"),
+    current = carry_last(marked, "tab", ["at", "_late"], hour, {"_open": "_nav"})
+    deadline = f"_in.start + {cfg.settle_deadline_ms}"
+    steps = (
+        current.withColumn("_in", F.coalesce("_nav", "_open"))
+        .withColumn("_now", F.coalesce("_sig", "_before"))
+        .where(f"_in is not null and at <= {deadline} and (_nav is not null or kind <> 'url')")
     )
-    ends = per_nav.withColumn("_end", F.lead("_start").over(Window.partitionBy("tab").orderBy("_n"))).withColumn(
-        "_at", F.expr(f"coalesce(_calm, _start + {cfg.settle_deadline_ms})")
+    nav = Window.partitionBy("tab", "_in.start", "_in.url").orderBy("at", "_late")
+    calm = f"at + {cfg.settle_quiet_ms}"
+    settled = f"(_next is null or _next > {calm}) and _now is not null and _now <> _in.old and {calm} <= {deadline}"
+    per_nav = (
+        steps.withColumn("_next", F.lead("at").over(nav))
+        .groupBy("tab", F.col("_in.start").alias("_start"), F.col("_in.url").alias("url"))
+        .agg(
+            F.min(F.expr(f"if({settled}, {calm}, null)")).alias("_calm"),
+            F.min_by("_now", F.expr(f"if({settled}, {calm}, null)")).alias("_calm_sig"),
+            F.max_by("_now", F.struct("at", "_late")).alias("_limit_sig"),
+        )
+        .withColumn("_at", F.expr(f"coalesce(_calm, _start + {cfg.settle_deadline_ms})"))
     )
-    return ends.where("_end is null or _at < _end").select(
-        "tab",
-        "url",
-        F.coalesce(F.expr("if(_calm is null, _limit_sig, _calm_sig)"), F.lit("")).alias("signature"),
-        F.expr("timestamp_millis(_start)").alias("navigated_at"),
-        F.expr("timestamp_millis(_at)").alias("settled_at"),
-        F.expr("if(_calm is null, 'deadline', 'settled')").alias("reason"),
+    # a navigation that starts before the page settled restarts the clock; it can only lie
+    # in the same or the next hour, so the look-ahead is bounded too
+    copies = per_nav.withColumn("_own", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn(
+        "_hour", F.expr("floor(_start / 3600000) - 1 + _own")
+    )
+    following = F.lead("_start").over(Window.partitionBy("tab", "_hour").orderBy("_start", "url"))
+    return (
+        copies.withColumn("_end", following)
+        .where("_own = 1 and (_end is null or _at < _end)")
+        .select(
+            "tab",
+            "url",
+            F.coalesce(F.expr("if(_calm is null, _limit_sig, _calm_sig)"), F.lit("")).alias("signature"),
+            F.expr("timestamp_millis(_start)").alias("navigated_at"),
+            F.expr("timestamp_millis(_at)").alias("settled_at"),
+            F.expr("if(_calm is null, 'deadline', 'settled')").alias("reason"),
+        )
     )
 
 
@@ -160,8 +173,13 @@ def drop_stale(events: DataFrame) -> DataFrame:
 
 
 def current_results(events: DataFrame) -> DataFrame:
-    """Batch twin of :func:`drop_stale`."""
-    order = Window.partitionBy("tab").orderBy("ts", F.desc("kind"))
-    page = events.withColumn("page", F.expr(U.page_url("url")))
-    now = page.withColumn("_now", F.last(F.expr("if(kind = 'url', page, null)"), ignorenulls=True).over(order))
+    """Batch twin of :func:`drop_stale`; the address is carried across hour buckets."""
+    marked = events.withColumns(
+        {
+            "page": F.expr(U.page_url("url")),
+            "_url": F.expr(f"if(kind = 'url', {U.page_url('url')}, null)"),
+            "_late": F.expr("if(kind = 'url', 0, 1)"),
+        }
+    )
+    now = carry_last(marked, "tab", ["ts", "_late"], "floor(unix_seconds(ts) / 3600)", {"_now": "_url"})
     return now.where("kind = 'result' and (_now is null or _now = page)").select("tab", "url", "payload", "ts")

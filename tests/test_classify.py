@@ -54,3 +54,6 @@ def test_denied_host_joins(spark):
     df = spark.createDataFrame([("a.dlsite.com",), ("dlsite.com",), ("notdlsite.com",), ("x.test",), ("",)], "host string")
     assert {r.host for r in K.on_denied_hosts(df).collect()} == {"a.dlsite.com", "dlsite.com"}
     assert {r.host for r in K.off_denied_hosts(df).collect()} == {"notdlsite.com", "x.test", ""}
+    own = spark.createDataFrame([("X.test",), ("site.com",)], "entry string")
+    assert {r.host for r in K.on_denied_hosts(df, denied=own).collect()} == {"x.test"}
+    assert K.off_denied_hosts(df, denied=own).count() == 4
