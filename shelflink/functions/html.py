@@ -282,3 +282,6 @@ def json_ld(blocks: pd.Series) -> pd.DataFrame:
     unbounded there, which column expressions cannot walk."""
     rows = [_read_json_ld(b) for b in blocks]
     return pd.DataFrame(rows, columns=["name", "type", "author"])
+
+
+json_ld = json_ld.asNondeterministic()  # see text.nfkc

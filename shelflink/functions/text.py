@@ -75,6 +75,12 @@ def nfkc_each(lists: pd.Series) -> pd.Series:
     return lists.map(lambda xs: None if xs is None else [_nfkc(x) for x in xs])
 
 
+# Marked so that the optimiser neither copies the call into a pushed-down filter (where it
+# could land inside a lambda, which cannot run Python) nor evaluates it twice.
+nfkc = nfkc.asNondeterministic()
+nfkc_each = nfkc_each.asNondeterministic()
+
+
 def trim_blanks(value: Sql) -> Sql:
     return sub(value, r"^\s+|\s+$")
 

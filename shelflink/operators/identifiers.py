@@ -89,14 +89,11 @@ def denied(lines: DataFrame, deny: DataFrame, key: str) -> DataFrame:
         return lines.limit(0).selectExpr(key, "line", "0 as column", "'denylisted' as kind", "content as match")
     small = len(starts) <= SMALL_DENY_LIST
     few = small and entries.limit(SMALL_DENY_LIST + 1).count() <= SMALL_DENY_LIST
-    sizes_sql = "array(" + ", ".join(map(str, sorted(sizes))) + ")"
-    windows = "transform(sequence(1, length(_low) - g + 1), i -> substr(_low, i, g))"
+    # a look-ahead group lists all overlapping windows in one linear pass
+    windows = "concat(" + ", ".join(grab_all("_low", f"(?s)(?=(.{{{g}}}))") for g in sorted(sizes)) + ")"
     if small:
         windows = f"filter({windows}, w -> w in ({', '.join(quote(g) for g in starts)}))"
-    grams = (
-        f"array_distinct(flatten(transform({sizes_sql}, g -> if(length(_low) < g,"
-        f" cast(array() as array<string>), {windows}))))"
-    )
+    grams = f"array_distinct({windows})"
     met = lines.withColumn("_low", F.lower("content")).withColumn("_gram", F.explode(F.expr(grams)))
     return (
         met.join(F.broadcast(entries) if few else entries, "_gram")

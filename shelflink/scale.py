@@ -55,22 +55,27 @@ def carry_last(df: DataFrame, key: str, order: list[str], bucket: str, values: d
     )
 
 
-def number_rows(df: DataFrame, order: str, name: str, buckets: int = 1024) -> DataFrame:
+BUCKET_ROWS = 200_000
+
+
+def number_rows(
+    df: DataFrame, order: str, name: str, buckets: int = 1024, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """Adds 1, 2, 3, ... in the order of the unique numeric column ``order``.
 
     A window without partitions would sort everything in one task.  Instead ``order``
     is cut at (at most ``buckets``) approximate quantiles, rows are numbered inside each
     bucket, and buckets are shifted by the rows before them.  The cut points are the
     only values that reach the driver; as literals they stay the same in every retry.
+    Fewer cuts are used while a bucket would hold less than ``BUCKET_ROWS`` rows.
     """
     points = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(order, points, 10_000).alias("cuts")).first().cuts or []
-    cuts = sorted(set(cuts))
+    found = df.agg(F.percentile_approx(order, points, 10_000).alias("cuts"), F.count("*").alias("n")).first()
+    every = max(1, -(-buckets * bucket_rows // max(found.n, 1)))
+    cuts = sorted(set((found.cuts or [])[every - 1 :: every]))
     placed = df.withColumn(
         "_bucket",
-        F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c <= {order}))")
-        if len(cuts) <= 16
-        else F.expr(_search(cuts, order)),
+        F.expr(_search(cuts, order)),
     )
     sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_size"))
     # one row per bucket, so this window sees at most ``buckets`` rows

@@ -122,3 +122,15 @@ def test_queries(page):
     rows = C.effective_queries(C.work_titles(df)).orderBy("page_id").collect()
     assert rows[0].queries == ["題名 再会", "ab cd 第2巻"]
     assert rows[1].queries == ["漢字"]
+
+
+def test_filters_and_explodes_after_cleaning(spark, page, tmp_path):
+    """Predicates on cleaned columns over a file scan must not drag Python into lambdas."""
+    page({"title": "青い鳥 第3話", "h1": ["青い鳥"]}, {"title": "!!"}).write.parquet(str(tmp_path / "p"))
+    info = spark.read.parquet(str(tmp_path / "p"))
+    high = C.clean_titles(info.select("page_id", "host", F.col("title").alias("raw"))).where("clean.confidence = 'high'")
+    assert [r.clean.cleaned for r in high.collect()] == ["青い鳥"]
+    sources = C.title_sources(info).select("page_id", F.explode("sources").alias("s")).where("s.confidence <> 'low'")
+    assert sorted(r.s.source for r in sources.collect()) == ["h1[0]", "title"]
+    asked = C.effective_queries(C.work_titles(info)).select(F.explode("queries").alias("q"))
+    assert {r.q for r in asked.collect()} == {"青い鳥", "青い鳥 第3話", "!!"}
