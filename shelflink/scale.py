@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The shared folder ``spark.checkpoint.dir`` names.  Where it is unset, a local session
+    (tests, a laptop) gets a temporary folder; a cluster gets an error, since what executors
+    write to their own disks cannot be read back."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if current:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(current)
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(folder)
     return folder
 
