@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, rules
+from . import licenses, mixing, rules, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,82 @@ from m
 @query("op10_quality_rules", _OP10)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents")).drop("broken")
+
+
+_KEY = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_OP7 = r"""
+with d as (
+  select doc_id, coalesce(source, '') as source, coalesce(text, '') as body from documents
+), m as (
+  select doc_id, source, body, 'assign' as kind, 0 as rank, 6 as least, regexp_extract_all(body, '@KEY@["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as m,
+    regexp_extract_all(body, '@KEY@["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) as v, string_split_regex(body, '@KEY@["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as p from d
+  union all select doc_id, source, body, 'access', 1, 20, regexp_extract_all(body, 'AKIA[A-Z0-9]+'), regexp_extract_all(body, 'AKIA[A-Z0-9]+'), string_split_regex(body, 'AKIA[A-Z0-9]+') from d
+  union all select doc_id, source, body, 'hex', 2, 24, regexp_extract_all(body, '[0-9a-f]+'), regexp_extract_all(body, '[0-9a-f]+'), string_split_regex(body, '[0-9a-f]+') from d
+  union all select doc_id, source, body, 'owned', 3, 20, regexp_extract_all(body, '[A-Za-z0-9+/_-]+'), regexp_extract_all(body, '[A-Za-z0-9+/_-]+'), string_split_regex(body, '[A-Za-z0-9+/_-]+') from d
+), lengths as (
+  select doc_id, source, kind, rank, least, unnest(m) as m, unnest(v) as v, unnest(p[1:len(m)]) as p, unnest(range(1, len(m) + 1)) as i from m
+), placed as (
+  select doc_id, source, kind, rank, v, length(v) >= least as long,
+    (sum(length(p) + length(m)) over (partition by doc_id, kind order by i) - length(m))::int as s, (sum(length(p) + length(m)) over (partition by doc_id, kind order by i))::int as e
+  from lengths
+), base as (
+  select * from placed where long and rank < 3
+), extra as (
+  select x.* from placed x where long and rank = 3 and length(translate(v, '0123456789', '')) <= length(v) - 4
+    and length(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= 4
+    and not exists (select 1 from base b where b.doc_id = x.doc_id and b.s < x.e and x.s < b.e)
+), every as (
+  select * from base union all select * from extra
+), held as (
+  select v, count(distinct source) as owners from every group by v
+), judged as (
+  select every.*, owners > 2 as example from every join held using (v) where rank < 3 or owners <= 2
+), per as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, e, rank) filter (rank < 3), '') as b,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, e, rank) as spans,
+    count(*) filter (not example) as n_live, count(*) filter (example) as n_example
+  from judged group by doc_id
+)
+select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(b, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0)::bigint as n_live, coalesce(n_example, 0)::bigint as n_example
+from d left join per using (doc_id)
+""".replace("@KEY@", _KEY)
+
+
+@query("op7_secret_scan", _OP7)
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_OP8 = r"""
+with given(license, text) as (values @ROWS@
+), words as (
+  select license, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from given
+), known as (
+  select license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as t from words
+), d as (
+  select doc_id, coalesce(text, '') as body from documents
+), units as (
+  select doc_id, unnest(string_split(body, chr(10))) as u from d
+  union all select doc_id, unnest(string_split_regex(body, '\n[^\p{L}\p{N}\n]*\n')) from d
+  union all select doc_id, body from d
+), split as (
+  select doc_id, regexp_extract_all(lower(u), '[\p{L}\p{N}]+') as w from units
+), sets as (
+  select distinct doc_id, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as b from split where len(w) > 1
+), near as (
+  select doc_id, b, license, 2.0::double * len(list_intersect(b, t)) / (len(b) + len(t)) as dice from sets join known on len(b) <= len(t) * 1.5 and len(t) <= len(b) * 1.5
+), first as (
+  select doc_id, b, min((-dice, license)) as x from near where dice >= 0.8::double group by doc_id, b
+), per as (
+  select doc_id, min(x) as x, count(*) as n, string_agg(x[2] || ':' || (round(-x[1], 4)::decimal(5,4)), ',' order by x[2] || ':' || (round(-x[1], 4)::decimal(5,4))) as matches from first group by doc_id
+)
+select d.doc_id, x[2] as license, -x[1] as dice, coalesce(n, 0)::bigint as n_matches, coalesce(matches, '') as matches from d left join per using (doc_id)
+""".replace("@ROWS@", ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, v in licenses.TEMPLATES.items() for t in v))
+
+
+@query("op8_license_scan", _OP8)
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
