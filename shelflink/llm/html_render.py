@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video canvas svg math select param source track".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg math select param source track".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
     " hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption tbody thead tfoot tr".split()
@@ -244,7 +244,7 @@ def _walk(page: Page, top: Node, selectors: set[str]) -> None:
     while stack:
         what, node, pre, marker = stack.pop()
         if what == "close":
-            page.end(spaced=node.tag in SPACED)
+            page.end(spaced=node.tag in SPACED and not (node.tag in ("ul", "ol") and page.indent > 2))
             if node.tag in ("ul", "ol", "menu", "dir", "blockquote", "dd"):
                 page.indent -= 2
             continue

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, rules, secret_scan
+from . import exact_dedup, html_render, licenses, mixing, ngram_jaccard, rules, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,3 +182,27 @@ select d.doc_id, x[2] as license, -x[1] as dice, coalesce(n, 0)::bigint as n_mat
 @query("op8_license_scan", _OP8)
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_OP1 = r"""
+with d as (
+  select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
+)
+select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = min(doc_id) over g as kept, text_sha256
+from d window g as (partition by text_sha256)
+"""
+
+
+@query("op1_exact_dedup", _OP1)
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link_components(table(spark, sf_dir, "documents"), words=4, threshold=Fraction(85, 100)).drop("set_key")
