@@ -13,7 +13,7 @@ import struct
 import numpy as np
 
 _U = np.uint64
-_HEADER = struct.Struct("<QQQ")
+_HEADER = "<QQQ"
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -73,14 +73,14 @@ def build(keys: np.ndarray) -> bytes:
                 table[own] = 0
                 a, b, c = table[slots[:, key]]
                 table[own] = prints[key] ^ a ^ b ^ c
-            return _HEADER.pack(seed, length, segments) + table.tobytes()
+            return struct.pack(_HEADER, seed, length, segments) + table.tobytes()
     raise RuntimeError("no seed gives a filter")
 
 
 def contains(data: bytes, keys: np.ndarray) -> np.ndarray:
     """For each key whether the filter lets it pass."""
-    seed, length, segments = _HEADER.unpack_from(data)
-    table = np.frombuffer(data, dtype=np.uint8, offset=_HEADER.size)
+    seed, length, segments = struct.unpack_from(_HEADER, data)
+    table = np.frombuffer(data, dtype=np.uint8, offset=struct.calcsize(_HEADER))
     h = _mix(np.asarray(keys, dtype=np.uint64), seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     a, b, c = table[_slots(h, length, segments)]
     return (a ^ b ^ c) == _prints(h)
