@@ -21,7 +21,8 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed in one go, so that working arrays stay small.
-PIECE = 1 << 20
+PIECE = 1 << 18
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,13 +36,19 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[_U(1)], np.full(max(n - 1, 0), base, dtype=np.uint64)]), dtype=np.uint64)[:n]
 
 
-_UP, _DOWN = _powers(_BASE, PIECE + 1), _powers(_INVERSE, PIECE + 1)
+def _up_down(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; made once a task, so that they never travel."""
+    if n > PIECE:
+        return _powers(_BASE, n), _powers(_INVERSE, n)
+    if PIECE not in _tables:
+        _tables[PIECE] = _powers(_BASE, PIECE), _powers(_INVERSE, PIECE)
+    return _tables[PIECE]
 
 
 def _hash_piece(raw: np.ndarray) -> np.ndarray:
     """Word hashes of a piece that no word crosses."""
     blank = _BLANK[raw]
-    up, down = (_UP, _DOWN) if len(raw) <= PIECE else (_powers(_BASE, len(raw)), _powers(_INVERSE, len(raw)))
+    up, down = _up_down(len(raw))
     running = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(np.where(blank, _U(0), _BYTE[raw]) * up[: len(raw)], out=running[1:])
     edge = np.diff(blank.view(np.int8), prepend=1, append=1)
