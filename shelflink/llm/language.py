@@ -142,18 +142,18 @@ def train(docs: DataFrame, per_language: int = 1500) -> LanguageModel:
     ids = learn.select("doc_id", "lang").withColumn("place", first).where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
     sample = learn.join(F.broadcast(ids), ["doc_id", "lang"])
 
-    @F.pandas_udf("struct<at: array<int>, x: array<float>>")
+    @F.pandas_udf("struct<at: binary, x: binary>")  # packed, so that the sample is small on the driver
     def cut(texts: pd.Series) -> pd.DataFrame:
         found = [vector(t, idf) for t in texts]
-        return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in found], "x": [v.astype(np.float32) for _, v in found]})
+        return pd.DataFrame({"at": [a.astype(np.int32).tobytes() for a, _ in found], "x": [v.astype(np.float32).tobytes() for _, v in found]})
 
     rows = sorted(sample.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", cut("text").alias("v")).collect(), key=lambda r: (r.doc_id, r.lang, r.v.at))
     languages = sorted({r.lang for r in rows})
     labels = np.array([languages.index(r.lang) for r in rows], dtype=np.int64)
-    data = [(np.array(r.v.at, dtype=np.int64), np.array(r.v.x, dtype=np.float64)) for r in rows]
+    data = [(np.frombuffer(r.v.at, dtype=np.int32), np.frombuffer(r.v.x, dtype=np.float32)) for r in rows]
     aside = np.arange(len(rows)) % 5 == 4
     weights, bias = fit_ftrl([d for d, a in zip(data, aside) if not a], labels[~aside], len(languages)) if len(rows) else (np.zeros((0, DIMENSIONS)), np.zeros(0))
-    logits = np.array([weights[:, at] @ x + bias for (at, x), a in zip(data, aside) if a]).reshape(-1, len(languages))
+    logits = np.array([weights[:, at] @ x + bias for (at, x), a in zip(data, aside) if a]).reshape(int(aside.sum()), len(languages))
     return LanguageModel(languages, idf, weights, bias, fit_temperature(logits, labels[aside]))
 
 
