@@ -112,9 +112,10 @@ def fit_nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return QualityModel(mean.astype(np.float64), scale.astype(np.float64), w, float(b), prior)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.BinaryType())
 def _features_of(texts: pd.Series) -> pd.Series:
-    return texts.map(features)
+    """Packed, so that the sample is small on the driver."""
+    return texts.map(lambda t: features(t).tobytes())
 
 
 def estimate_prior(labels: DataFrame) -> float:
@@ -135,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled:
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "trusted", _features_of("text").alias("x")).collect()
     # in a fixed order, so that every run sums alike
     sample.sort(key=lambda r: (r.doc_id, r.trusted, r.x))
-    x = np.array([r.x for r in sample], dtype=np.float32).reshape(len(sample), FEATURES)
+    x = np.frombuffer(b"".join(r.x for r in sample), dtype=np.float32).reshape(len(sample), FEATURES)
     mark = np.array([r.trusted for r in sample], dtype=bool)
     if not mark.any():
         raise ValueError("no trusted positive document to learn from")
