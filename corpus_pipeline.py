@@ -1,6 +1,63 @@
-STAGES = []
+"""The corpus pipeline: classify, deduplicate, mix, tokenise.
+
+Every stage takes the documents its predecessor kept and returns a DataFrame that is written as
+Parquet and read again.  All stages but the last return the columns of ``documents``.
+
+* quality: documents that the positive-unlabelled classifier rejects go.  It learns from the
+  labels and the stage's own input.
+* exact_dedup: of equal texts the one with the smallest doc_id stays.
+* near_dedup: of each group of near duplicates (5-word shingles, Jaccard 0.8 or more) the
+  document with the smallest doc_id stays.
+* mix: sources at target weights 1, 2, 3, ...; a document is repeated as often as the mix takes it
+  and the corpus is sorted by virtual finish time.
+* sentencepiece: ids of the best segmentation and the n best paths.
+
+Null columns pass through; null and empty texts are judged like any text; an empty input gives
+empty results from the second stage on (the classifier needs a positive to learn from).
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from shelflink.llm import exact_dedup, mixing, ngram_jaccard, pieces, quality_pu
+from shelflink.scale import checkpoint_dir
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_pu.keep_good(docs, quality_pu.train(docs, labels))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_documents(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.keep_one_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("sentencepiece", sentencepiece)]
+
+#: SQL cannot train the classifier, so the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what lies between them is written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{checkpoint_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -20,6 +20,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,7 +77,7 @@ def build_snapshot(groups: DataFrame) -> Snapshot:
     buckets = buckets_for(groups.count(), BUCKET_KEYS)
     exact = stage(groups.withColumn("bucket", _bucket(buckets)))
 
-    def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: Any, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"bucket": [key[0]], "filter": [build(_key(rows["digest"]))]})
 
     filters = exact.select("bucket", "digest").groupBy("bucket").applyInPandas(fill, "bucket bigint, filter binary")
@@ -86,7 +87,7 @@ def build_snapshot(groups: DataFrame) -> Snapshot:
 def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
     """The digests of a batch that the snapshot's filters let pass (never fewer than it holds)."""
 
-    def probe(key, rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    def probe(key: Any, rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or filters.empty:
             return rows.iloc[:0]
         return rows[contains(bytes(filters["filter"].iloc[0]), _key(rows["digest"]))]
