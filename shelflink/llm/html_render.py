@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg math select param source track".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg math param source track".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
     " hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption tbody thead tfoot tr".split()
@@ -65,16 +66,20 @@ class Node:
 def build_tree(page: str) -> Node:
     """The page as nodes and strings, with implied tags supplied."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at, open_ = [root], 0, Counter()
+
+    def cut(depth: int) -> None:
+        for node in stack[depth:]:
+            open_[node.tag] -= 1
+        del stack[depth:]
 
     def close(tags: frozenset[str], stop: frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
+        """End all open ``tags`` down to the nearest of ``stop``; nothing is searched when none is open."""
+        depth = len(stack) - 1
+        while depth > 0 and any(open_[t] for t in tags) and stack[depth].tag not in stop:
             if stack[depth].tag in tags:
-                del stack[depth:]
-                return close(tags, stop)
-            if stack[depth].tag in stop:
-                return None
-        return None
+                cut(depth)
+            depth -= 1
 
     while at < len(page):
         token = _TOKEN.search(page, at)
@@ -90,12 +95,12 @@ def build_tree(page: str) -> Node:
         if token[1]:
             if tag == "br":  # browsers read a stray </br> as <br>
                 stack[-1].children.append(Node("br"))
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
+            elif tag == "p" and not open_["p"]:
                 stack[-1].children.append(Node("p"))
             else:
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1 if open_[tag] else 0, 0, -1):
                     if stack[depth].tag == tag:
-                        del stack[depth:]
+                        cut(depth)
                         break
                     if tag not in ("table", "body", "html") and stack[depth].tag in ("td", "th", "table") and tag not in ("tr", "td", "th", "tbody", "thead", "tfoot"):
                         break
@@ -114,6 +119,7 @@ def build_tree(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID:
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
