@@ -12,8 +12,8 @@ shingles that come first in any common order (the prefix) contain a shared one.
   of two inside classes.  Of c shingles of a class c - 1 count towards tau + 1: if fewer than that
   many are missing, some class keeps two that both nodes index.  A pair of which one node never
   met a frequent shingle shares an infrequent one already in the first pass.
-* Candidates of the first pass are cut by an exact bound on the overlap (the shared part of the
-  hash order up to the shorter prefix), then verified on whole sets.
+* Candidates are cut by two exact bounds on the overlap (the shared part of the hash order up to
+  the shorter first prefix; parity bitmaps of a few bits a shingle), then verified on whole sets.
 
 Links are verified in rounds, each against few centres: first every node with its best partner,
 then candidate pairs that are still in different components, last what remains in long lists.
@@ -80,6 +80,22 @@ def _node(key: str) -> int:
     return int.from_bytes(bytes.fromhex(key[:16]), "big", signed=True)
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """The parity of the shingles on each of about three bits a shingle."""
+    bits = max(64, 4 << (len(tokens).bit_length() - 1))
+    return np.packbits((np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one of two sets only; the larger bitmap is folded."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _frequent(signatures: np.ndarray, known: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(known, signatures), len(known) - 1)
     return known[at] == signatures
@@ -112,7 +128,7 @@ def combination_prefix(tokens: np.ndarray, band: int, t: Fraction, known: np.nda
 def _index(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
     """First pass.  Rows with ``doc_id`` describe documents; rows with ``part`` hold packed
     (signature, node) entries of one part of the index."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("node", pa.int64()), ("last", pa.int64()), ("part", pa.int64()), ("entries", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("node", pa.int64()), ("last", pa.int64()), ("bitmap", pa.binary()), ("part", pa.int64()), ("entries", pa.binary())])
 
     def flush(signatures: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not signatures:
@@ -130,7 +146,7 @@ def _index(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         blobs = [np.stack([a.view(np.int64), b]).tobytes() for a, b in zip(np.split(s, starts[1:]), np.split(v, starts[1:]))]
         none = pa.nulls(len(starts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(starts), pa.string()), none, none, pa.array(part[starts]), pa.array(blobs, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(starts), pa.string()), none, none, pa.nulls(len(starts), pa.binary()), pa.array(part[starts]), pa.array(blobs, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, nodes, held, seen = [], [], 0, set()
@@ -139,18 +155,18 @@ def _index(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
             for doc_id, raw in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1))):
                 tokens = shingle_set(raw, words)
                 if not len(tokens):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, 0, None, None, None, None))
                     continue
                 key = _key(tokens)
                 node, prefix = _node(key), tokens[: _missing(len(tokens), t) + 1]
-                rows.append((doc_id, len(tokens), key, node, int(prefix[-1:].view(np.int64)[0])))
+                rows.append((doc_id, len(tokens), key, node, int(prefix[-1:].view(np.int64)[0]), _bitmap(tokens)))
                 if key not in seen:
                     seen.add(key)
                     for band in _bands(len(tokens), t):
                         signatures.append(_signature(prefix, band))
                         nodes.append(np.full(len(prefix), node, dtype=np.int64))
                         held += len(prefix)
-            columns = list(zip(*rows)) if rows else [()] * 5
+            columns = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, schema)] + [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())], schema=schema
             )
@@ -159,7 +175,7 @@ def _index(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
                 signatures, nodes, held = [], [], 0
         yield from flush(signatures, nodes)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, key string, node bigint, last bigint, part bigint, entries binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, key string, node bigint, last bigint, bitmap binary, part bigint, entries binary")
 
 
 def _lists(index: DataFrame) -> DataFrame:
@@ -189,27 +205,30 @@ def _lists(index: DataFrame) -> DataFrame:
 
 
 def _extended(docs: DataFrame, words: int, t: Fraction, known: np.ndarray) -> DataFrame:
-    """Second pass: (node, signature) of the nodes whose first prefix holds a frequent shingle."""
+    """Second pass: (node, often, signatures) of the nodes whose first prefix holds a frequent
+    shingle; ``often`` is how many it holds."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            nodes, found = [], []
+            nodes, often, found = [], [], []
             for raw in texts_as_bytes(batch.column(0)):
                 tokens = shingle_set(raw, words)
                 prefix = tokens[: _missing(len(tokens), t) + 1] if len(tokens) else tokens
                 bands = _bands(len(tokens), t) if len(tokens) else []
-                if not any(_frequent(_signature(prefix, band), shared.value).any() for band in bands):
+                most = max((int(_frequent(_signature(prefix, band), shared.value).sum()) for band in bands), default=0)
+                if not most:
                     continue
                 node = _node(_key(tokens))
                 if node not in seen:
                     seen.add(node)
                     nodes.append(node)
+                    often.append(most)
                     found.append(np.concatenate([combination_prefix(tokens, band, t, shared.value) for band in bands]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "signatures"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(often, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "often", "signatures"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, signatures array<bigint>").select("node", F.explode("signatures").alias("signature"))
+    return docs.select("text").mapInArrow(run, "node bigint, often bigint, signatures array<bigint>")
 
 
 def _plain(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
@@ -274,6 +293,28 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, t:
     return cut_up.groupBy("centre", "block").applyInPandas(compare, "a string, b string")
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b, w) that can reach the threshold.  Of the two first prefixes the one that
+    ends earlier in hash order has all its shingles up to there missing in the other set, but for
+    the shared ones: ``w`` from short lists, and at most as many frequent ones as both hold.  And
+    the parity bitmaps of two sets differ in no more bits than the sets in shingles."""
+    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "last", "often")])
+    unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
+    n = F.when(unsigned("last_a") <= unsigned("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
+    missing = n - F.ceil(n * t.numerator / F.lit(float(t.denominator))) + 1 - (F.col("w") + F.least("often_a", "often_b"))
+    fits = (n - missing) * (t.numerator + t.denominator) >= (F.col("n_a") + F.col("n_b")) * t.numerator
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "w", (F.col("n_a") + F.col("n_b")).alias("both"))
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series, both: pd.Series) -> pd.Series:
+        apart = np.array([_differ(x, y) for x, y in zip(a, b)], dtype=np.int64)
+        return pd.Series((t.numerator + t.denominator) * (both.to_numpy() - apart) >= 2 * t.numerator * both.to_numpy())
+
+    maps = lambda x: nodes.select(F.col("node").alias(x), F.col("bitmap").alias(f"map_{x}"))
+    mapped = likely.join(maps("a"), "a").join(maps("b"), "b")
+    return mapped.where(near("map_a", "map_b", "both")).select("a", "b", "w").distinct()
+
+
 def _apart(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components."""
     where = nodes.join(roots, nodes["key"] == roots["a"], "left").select("node", F.coalesce("b", "key").alias("root"))
@@ -294,34 +335,30 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
         raise ValueError("the threshold must lie between 1/2 and 1")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = stage(_index(docs, words, t, buckets_for(docs.count(), PART_NODES)))
-    found = index.where("part is null").select("doc_id", "n", "key", "node", "last")
-    nodes = stage(found.where("n > 0").groupBy("key", "node", "n", "last").agg(F.min("doc_id").alias("doc_id")))
+    found = index.where("part is null").select("doc_id", "n", "key", "node", "last", "bitmap")
+    nodes = stage(found.where("n > 0").groupBy("key", "node", "n", "last").agg(F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"), F.lit(0).cast("long").alias("often")))
     lists = stage(_lists(index))
     pairs = lists.where("b is not null").groupBy("a", "b").agg(F.sum("w").alias("w"))
     named = lists.where("b is null")
     often = stage(named.orderBy(F.desc("w"), "a").limit(MOST_FREQUENT).select("a"))
     known = np.sort(np.array([r.a for r in often.collect()], dtype=np.int64).view(np.uint64))
 
-    # exact bound: of the shorter prefix (in hash order) all but the shared shingles are missing
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("last").alias(f"last_{x}"))
-    flip = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  unsigned order
-    n = F.when(flip("last_a") <= flip("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
-    prefix = n - F.ceil(n * t.numerator / F.lit(float(t.denominator))) + 1
-    need = (F.col("n_a") + F.col("n_b")) * t.numerator
-    fits = (n - prefix + F.col("w")) * (t.numerator + t.denominator) >= need
-    likely = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "w"))
-    candidates, postings = likely, None
+    candidates, postings = pairs, None
     if len(known):
-        postings = _extended(docs, words, t, known)
+        extended = stage(_extended(docs, words, t, known))
+        nodes = stage(nodes.drop("often").join(extended.groupBy("node").agg(F.max("often").alias("often")), "node", "left").fillna(0, ["often"]))
+        postings = extended.select("node", F.explode("signatures").alias("signature"))
         if named.count() > MOST_FREQUENT:
-            # shingles beyond the bound stay indexed alone, as lists of any length
+            # shingles beyond the bound stay indexed alone, as lists of any length; how many of
+            # them a prefix holds is not counted, so no pair is cut by the overlap bound
             others = named.join(often, "a", "left_anti").select(F.col("a").alias("signature"))
             postings = postings.unionByName(_plain(docs, words, t).join(others, "signature", "left_semi"))
+            nodes = nodes.withColumn("often", F.col("n"))
         postings = stage(postings.distinct())
         centres = stage(postings.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("signature", "a"))
-        stars = postings.join(centres, "signature").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("w"))
-        both = pairs.join(postings.select(F.col("node").alias("a")).distinct(), "a", "left_semi").join(postings.select(F.col("node").alias("b")).distinct(), "b", "left_semi")
-        candidates = stage(likely.unionByName(both).unionByName(stars).groupBy("a", "b").agg(F.max("w").alias("w")))
+        stars = postings.join(centres, "signature").where("node <> a").select("a", F.col("node").alias("b"), F.lit(0).cast("long").alias("w"))
+        candidates = pairs.unionByName(stars.distinct()).groupBy("a", "b").agg(F.max("w").alias("w"))
+    candidates = stage(_possible(candidates, nodes, t))
 
     # round 1: every node with the partner it shares most with
     best = candidates.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b")
@@ -341,9 +378,9 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
         across = (
             left.alias("x").join(left.alias("y"), "signature").where("x.root < y.root")
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-            .join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+            .join(candidates.select("a", "b"), ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left").fillna(0, ["w"])
         )
-        across = stage(across)
+        across = stage(_possible(across, nodes, t).select("a", "b"))
         if not across.isEmpty():
             links = links.unionByName(stage(_verify(docs, across, nodes, words, t)))
             roots = connected_components(links)
