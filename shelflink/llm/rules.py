@@ -99,10 +99,12 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def rank_rules(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost on a sample of at most ``sample_rows`` rows.  The sample is
-    held in memory only while it is timed; each rule's cost is the time of its own pass."""
-    sample = measured.limit(sample_rows).cache()
+def rank_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules by rejection per cost on the first ``sample_rows`` documents that are read (taking
+    them reads as few partitions as hold them).  The measured sample is held in memory only while
+    it is timed; each rule's cost is the time of its own pass."""
+    first = docs.select("doc_id", "text")
+    sample = measure(docs.sparkSession.createDataFrame(first.head(sample_rows), first.schema)).cache()
     try:
         rows = max(sample.count(), 1)
 
@@ -133,7 +135,7 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: i
     """Every document with its measures, ``base_failed``, ``broken`` (the rule that ended the
     cascade) and ``kept``.  Base rules need no further measure and always come first."""
     measured = measure(docs)
-    ordered = rank_rules(measured, default_rules() if rules is None else rules, sample_rows)
+    ordered = rank_rules(docs, default_rules() if rules is None else rules, sample_rows)
     base = first_broken(base_rules())
     return (
         measured.withColumn("base_broken", base)
