@@ -16,9 +16,10 @@ shingles that come first in any common order (the prefix) contain a shared one.
   the shorter first prefix; parity bitmaps of a few bits a shingle), then verified on whole sets.
 
 Links are verified in rounds, each against few centres: first every node with its best partner,
-then candidate pairs that are still in different components, last what remains in long lists.
-Pairs inside a component need no verification, so a large group of near copies costs about one
-comparison a member, and yet no link between components is missed.
+then candidate pairs that are still in different components, last what long lists still hold apart
+(compared by bitmaps in blocks, so that no pair becomes a row before it passes).  Pairs inside a
+component need no verification, so a large group of near copies costs about one comparison a
+member, and yet no link between components is missed.
 
 Bounds: the frequent shingles sent to the tasks are at most ``MOST_FREQUENT`` (the most frequent
 ones; any other stays indexed alone, which is right but slower).  Groups of the verification hold
@@ -51,6 +52,8 @@ MOST_FREQUENT = 1 << 20
 BLOCK_SHINGLES = 1 << 20
 #: Candidate documents whose ids may be broadcast; beyond that the texts are joined by a shuffle.
 SMALL_SIDE = 1_000_000
+#: Bitmaps in one block of the comparison of long lists.
+BLOCK_NODES = 1024
 #: Nodes that share a part of the inverted index.
 PART_NODES = 8192
 _U = np.uint64
@@ -86,14 +89,18 @@ def _bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def _fold(bitmap: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap of fewer bits for the same set."""
+    while len(bitmap) > width:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
 def _differ(a: bytes, b: bytes) -> int:
-    """At least so many shingles are in one of two sets only; the larger bitmap is folded."""
+    """At least so many shingles are in one of two sets only."""
     x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    width = min(len(x), len(y))
+    return int(np.bitwise_count(_fold(x, width) ^ _fold(y, width)).sum())
 
 
 def _frequent(signatures: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -315,6 +322,49 @@ def _possible(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     return mapped.where(near("map_a", "map_b", "both")).select("a", "b", "w").distinct()
 
 
+def _across(postings: DataFrame, nodes: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (a, b) of different components that share a list and that their bitmaps allow.
+
+    Lists that share nodes are one neighbourhood.  Its nodes are compared band by band in blocks:
+    each task gets two blocks of at most about ``BLOCK_NODES`` bitmaps and returns the few pairs
+    that pass, so neither pairs nor a whole neighbourhood are ever rows of one task."""
+    own = nodes.join(roots, nodes["key"] == roots["a"], "left").select("node", "n", "bitmap", F.coalesce("b", "key").alias("root"))
+    placed = postings.join(own.select("node", "root"), "node")
+    open_ = stage(placed.groupBy("signature").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("node").alias("first")).where("r <> s").select("signature", "first"))
+    edges = stage(postings.join(open_, "signature").select("node", "first").distinct())
+    hoods = connected_components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    members = edges.select("node").distinct().join(hoods, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("hood"))
+    band = F.length(F.bin("n")) - 1
+    higher = F.col("n") * t.denominator >= F.expr(f"shiftleft({t.numerator}L, length(bin(n)))")
+    banded = members.join(own, "node").withColumn("band", F.explode(F.when(higher, F.array(band, band + 1)).otherwise(F.array(band))))
+    sizes = banded.groupBy("hood", "band").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        banded.join(sizes, ["hood", "band"])
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("hood", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "bitmap")
+    )
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        width = min(map(len, rows["bitmap"]))
+        maps = np.stack([_fold(np.frombuffer(x, dtype=np.uint8), width) for x in rows["bitmap"]]).view(np.uint64)
+        n, node, root = rows["n"].to_numpy(), rows["node"].to_numpy(), rows["root"].to_numpy()
+        left = np.flatnonzero(rows["block"] == rows["i"])
+        right = np.flatnonzero(rows["block"] == rows["j"])
+        same = rows["i"].iloc[0] == rows["j"].iloc[0]
+        found = []
+        for k, x in enumerate(left):
+            others = right[k + 1 :] if same else right
+            both = n[x] + n[others]
+            apart = np.bitwise_count(maps[x] ^ maps[others]).sum(axis=1, dtype=np.int64)
+            fits = others[((t.numerator + t.denominator) * (both - apart) >= 2 * t.numerator * both) & (root[others] != root[x])]
+            found += [(min(node[x], node[y]), max(node[x], node[y])) for y in fits]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("hood", "band", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
 def _apart(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components."""
     where = nodes.join(roots, nodes["key"] == roots["a"], "left").select("node", F.coalesce("b", "key").alias("root"))
@@ -354,7 +404,6 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
             others = named.join(often, "a", "left_anti").select(F.col("a").alias("signature"))
             postings = postings.unionByName(_plain(docs, words, t).join(others, "signature", "left_semi"))
             nodes = nodes.withColumn("often", F.col("n"))
-        postings = stage(postings.distinct())
         centres = stage(postings.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("signature", "a"))
         stars = postings.join(centres, "signature").where("node <> a").select("a", F.col("node").alias("b"), F.lit(0).cast("long").alias("w"))
         candidates = pairs.unionByName(stars.distinct()).groupBy("a", "b").agg(F.max("w").alias("w"))
@@ -369,18 +418,9 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     if not rest.isEmpty():
         links = links.unionByName(stage(_verify(docs, rest, nodes, words, t)))
         roots = connected_components(links)
-    # round 3: lists of the second pass that still span components, all their pairs across components
+    # round 3: lists of the second pass that still span components
     if postings is not None:
-        placed = postings.join(nodes, "node").join(roots, F.col("key") == F.col("a"), "left").select("signature", "node", F.coalesce("b", "key").alias("root"))
-        placed = stage(placed)
-        open_ = placed.groupBy("signature").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("signature")
-        left = stage(placed.join(open_, "signature"))
-        across = (
-            left.alias("x").join(left.alias("y"), "signature").where("x.root < y.root")
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-            .join(candidates.select("a", "b"), ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left").fillna(0, ["w"])
-        )
-        across = stage(_possible(across, nodes, t).select("a", "b"))
+        across = stage(_across(postings, nodes, roots, t).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
         if not across.isEmpty():
             links = links.unionByName(stage(_verify(docs, across, nodes, words, t)))
             roots = connected_components(links)
