@@ -19,19 +19,22 @@ class Config:
     # cache
     hit_ttl_s: int = 30 * 60
     miss_ttl_s: int = 5 * 60
-    cache_entries: int = 200
+    # capacities of a personal log; unset: everything is kept
+    cache_entries: int | None = None
     serve_negative: bool = False
     # search
     min_query_length: int = 3
     max_queries: int = 3
     searched_variants: int = 2
     searched_variants_other: int = 1
-    items_per_step: int = 30
-    items_total: int = 90
+    # page sizes of an answer; unset: a step returns every item that answers the query
+    items_per_step: int | None = None
+    items_total: int | None = None
     search_match_percent: int = 70
     stores: tuple[str, ...] = ("dlsite", "fanza", "melonbooks", "pixiv", "fantia")
     # page reading
-    text_sample: int = 2000
+    # longest part of a page's text that is looked at; unset: all of it
+    text_sample: int | None = None
     settle_quiet_ms: int = 400
     settle_deadline_ms: int = 5000
     # switches
@@ -43,11 +46,11 @@ class Config:
     max_rate: float = 1.0
     cny_per_jpy: float | str | None = None
     # quality log
-    max_captures: int = 300
+    max_captures: int | None = None
     max_observations: int = 6
     budget_work_page: int = 8
     budget_other_page: int = 0
-    max_structures: int = 24
+    max_structures: int | None = None
     max_analyses: int = 4
     similar_from: float = 0.85
 

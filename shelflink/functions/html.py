@@ -142,14 +142,15 @@ def element_by(doc: Sql, kind: str, value: str) -> Sql:
     return _element(doc, opening_of(kind, value), 1)
 
 
-def text_sample(doc: Sql, limit: int) -> Sql:
+def text_sample(doc: Sql, limit: int | None = None) -> Sql:
     body = grab(doc, r"(?is)<body(?=[\s>])[^>]*>(.*?)(?:</body\s*>|$)")
     source = case(
         (has(doc, rf"(?is)(?:{_ANY_CONTAINER})"), _element(doc, _ANY_CONTAINER, 3)),
         (has(doc, r"(?is)<body[\s>]"), body),
         default=doc,
     )
-    return f"left({text_content(source)}, {limit})"
+    content = text_content(source)
+    return content if limit is None else f"left({content}, {limit})"
 
 
 def info_text(doc: Sql) -> Sql:
@@ -159,7 +160,7 @@ def info_text(doc: Sql) -> Sql:
         marker = rf"(?i)<{value}[\s>]" if kind == "tag" else rf"(?i)=\s*[\"']?[^\"'<>]*{value}"
         block = let(
             text_content(element_by(doc, kind, value)),
-            lambda t: f"if(length({t}) >= 20, left({t}, 1500), null)",
+            lambda t: f"if(length({t}) >= 20, {t}, null)",
         )
         found.append(f"if({has(doc, marker)}, {block}, null)")
     return f"coalesce({', '.join(found)}, '')"
@@ -177,7 +178,7 @@ def tag_texts(doc: Sql, tag: str, limit: int) -> Sql:
 
 
 def heading_list(doc: Sql) -> Sql:
-    """(level, tag, text) of title-like elements: at most 16, no repeats, <= 200 chars."""
+    """(level, tag, text) of title-like elements without repeats; longer texts are no titles."""
     found = grab_all(
         doc,
         r"(?is)(<(h[1-4]|[a-z][a-z0-9]*(?=[^>]*\s(?:role\s*=\s*[\"']?heading|aria-level\s*=)))"
@@ -191,7 +192,7 @@ def heading_list(doc: Sql) -> Sql:
         for block in ("info", "info-block")
     )
     has_block = has(doc, r"(?is)\sid\s*=\s*[\"']?info(?:-block)?[\"'\s>]")
-    pieces = f"slice(array_distinct(concat({found}, if({has_block}, concat({in_blocks}), cast(array() as array<string>)))), 1, 16)"
+    pieces = f"array_distinct(concat({found}, if({has_block}, concat({in_blocks}), cast(array() as array<string>))))"
 
     def read(piece: Sql) -> Sql:
         opening = grab(piece, r"(?is)^(<[^>]*>)")
@@ -234,7 +235,7 @@ def json_ld_blocks(html: Sql) -> Sql:
         text(html),
         r"(?is)<script\s[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>",
     )
-    return f"slice({blocks}, 1, 8)"
+    return blocks
 
 
 JSON_LD = T.StructType(

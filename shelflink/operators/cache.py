@@ -69,7 +69,7 @@ def lookup_log(lookups: DataFrame, writes: DataFrame, cfg: Config = DEFAULTS) ->
 
 def within_capacity(entries: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """The newest ``cache_entries`` entries (a capacity limit, so a global top-k)."""
-    return entries.orderBy(F.desc("at"), F.asc("cache_key")).limit(cfg.cache_entries)
+    return entries if cfg.cache_entries is None else entries.orderBy(F.desc("at"), F.asc("cache_key")).limit(cfg.cache_entries)
 
 
 def stats(entries: DataFrame) -> DataFrame:

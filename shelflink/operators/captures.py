@@ -168,8 +168,10 @@ def build_captures(pages: DataFrame, states: DataFrame, cfg: Config = DEFAULTS)
 
 
 def merge_captures(log: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """One record per page from a log of captures: first id and novelty, latest
-    content, the last ``max_observations`` observations, cache evidence kept.
+    """One record per page from a log of captures: first id, novelty, verdict, note and
+    false-positive mark, latest content, the last ``max_observations`` observations.  A check that
+    was decided once stays decided; a cache hit on any of several visits is evidence for good, and
+    visits without a hit leave the check as it was.
 
     Only the newest few rows of a page are collected (the window limits them before
     the shuffle); first and latest records are plain aggregates, so a page visited a
@@ -184,8 +186,8 @@ def merge_captures(log: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
         .agg(F.collect_list(F.struct("_n", "_o")).alias("_obs"))
         .select("page_key", F.expr("transform(array_sort(_obs, (a, b) -> b._n - a._n), o -> o._o)").alias("observations"))
     )
-    keep_first = ["id", "novelty", "origin", "url_pattern"]
-    latest = [c for c in log.columns if c not in (*keep_first, "page_key", "verdict", "note", "results")]
+    keep_first = ["id", "novelty", "origin", "url_pattern", "verdict", "note"]
+    latest = [c for c in log.columns if c not in (*keep_first, "page_key", "results")]
     judged = [
         F.max_by(F.expr(f"results['{f}']"), F.expr(f"if(results['{f}'] <> '{NOT_TESTED}', -capture_no, null)")).alias(f"_j{i}")
         for i, f in enumerate(RESULT_FIELDS)
@@ -194,14 +196,15 @@ def merge_captures(log: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
         F.min_by(F.struct(*keep_first), "capture_no").alias("_first"),
         F.max_by(F.struct(*latest), "capture_no").alias("_last"),
         F.max_by("results", "capture_no").alias("_results"),
+        F.min_by(F.struct("match.false_positive"), "capture_no").alias("_marked"),
+        F.max(F.expr("exists(requests.observations, o -> o.cache_hit)")).alias("_hit"),
         F.count("*").alias("visits"),
         *judged,
     )
     merged = rolled.join(observations, "page_key")
-    hits = "exists(observations, o -> o.cache_hit)"
     results = "map(" + ", ".join(
         f"'{f}', " + (
-            f"case when {hits} then '{PASS}' when visits > 1 then '{FAIL}' else _results['{f}'] end"
+            f"if(visits > 1 and _hit, '{PASS}', coalesce(_j{i}, _results['{f}']))"
             if f == "cacheBehavior"
             else f"coalesce(_j{i}, _results['{f}'])"
         )
@@ -209,23 +212,24 @@ def merge_captures(log: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     ) + ")"
     return merged.select(
         "page_key",
-        "_first.*",
-        *[F.col(f"_last.{c}") for c in latest if c != "requests"],
+        *[F.col(f"_first.{c}") for c in keep_first if c not in ("verdict", "note")],
+        *[F.col(f"_last.{c}") for c in latest if c not in ("requests", "match")],
+        F.col("_last.match").withField("false_positive", F.col("_marked.false_positive")).alias("match"),
         F.expr(
             "named_struct('analyses', size(observations), 'total', _last.requests.total, 'by_store', _last.requests.by_store,"
             " 'cache_hit', _last.requests.cache_hit, 'cache_entry_found', _last.requests.cache_entry_found,"
             " 'observations', observations)"
         ).alias("requests"),
         F.expr(results).alias("results"),
-        F.lit(NOT_TESTED).alias("verdict"),
-        F.lit("").alias("note"),
+        F.coalesce("_first.verdict", F.lit(NOT_TESTED)).alias("verdict"),
+        F.coalesce("_first.note", F.lit("")).alias("note"),
         "visits",
     )
 
 
 def newest_captures(captures: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """The log keeps the last ``max_captures`` pages (a capacity limit: global top-k)."""
-    return captures.orderBy(F.desc("capture_no")).limit(cfg.max_captures)
+    return captures if cfg.max_captures is None else captures.orderBy(F.desc("capture_no")).limit(cfg.max_captures)
 
 
 def apply_judgements(captures: DataFrame, judgements: DataFrame) -> DataFrame:

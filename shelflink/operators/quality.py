@@ -68,17 +68,18 @@ def requests_by_store(captures: DataFrame) -> DataFrame:
 
 
 def structures(captures: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """The most frequent page structures (a top-k report)."""
-    return (
+    """How often each page structure occurs; ``max_structures``, where set, cuts a top-k report."""
+    found = (
         captures.groupBy(F.coalesce("fingerprint", F.lit("unknown")).alias("fingerprint"))
         .agg(
             F.min_by("page_type", "capture_no").alias("page_type"),
             F.count("*").alias("count"),
             F.min("captured_at").alias("first_seen"),
         )
-        .orderBy(F.desc("count"), F.asc("fingerprint"))
-        .limit(cfg.max_structures)
     )
+    if cfg.max_structures is None:
+        return found
+    return found.orderBy(F.desc("count"), F.asc("fingerprint")).limit(cfg.max_structures)
 
 
 def failure_breakdown(captures: DataFrame) -> DataFrame:

@@ -65,7 +65,11 @@ def _with_answers(
 ) -> DataFrame:
     """request x planned step x item rows; a step without items is one row."""
     plan = requests.withColumn("_step", F.explode(F.expr(planned_steps("queries", cfg))))
-    flat = plan.select("request_id", "queries", "chapter_hint", "query_forms", "_step.*")
+    # a store is scored with the queries it was asked: all forms of the first ones
+    own = (
+        f"filter(query_forms, q -> q.pos < if(_step.store_rank = 0, size(queries), {cfg.searched_variants_other}))"
+    )
+    flat = plan.withColumn("query_forms", F.expr(own)).select("request_id", "queries", "chapter_hint", "query_forms", "_step.*")
     payload = [
         F.col(c) if c in search_items.columns else F.lit(None).cast(_ITEM_TYPES.get(c, "string")).alias(c)
         for c in ITEM_FIELDS
@@ -137,7 +141,8 @@ def _executed(rows: DataFrame, cfg: Config) -> DataFrame:
             "_count": F.count(F.expr("if(_new = 1, 1, null)")).over(before),
         }
     )
-    open_list = f"coalesce(_age, 0) = 0 and coalesce(_count, 0) < {cfg.items_total}"
+    most = "cast(null as int)" if cfg.items_total is None else str(cfg.items_total)
+    open_list = f"coalesce(_age, 0) = 0 and coalesce(coalesce(_count, 0) < {most}, true)"
     ran_first = first_tier.withColumn(
         "_ran1", F.expr(f"tier = 1 and coalesce(_best, 0) < {cfg.high} and {open_list}")
     ).withColumns(
@@ -150,7 +155,7 @@ def _executed(rows: DataFrame, cfg: Config) -> DataFrame:
     ran = (
         f"_ran1 or (tier = 2 and coalesce(_age1, 0) = 0 and coalesce(_best1, 0) < {cfg.possible}"
         f" and coalesce(_best, 0) < {cfg.possible} and coalesce(_age, 0) = 0"
-        f" and (coalesce(_count, 0) = 0 or coalesce(_count, 0) + _count1 < {cfg.items_total}))"
+        f" and (coalesce(_count, 0) = 0 or coalesce(coalesce(_count, 0) + _count1 < {most}, true)))"
     )
     return ran_first.where(ran).drop("_new", "_best", "_age", "_count", "_ran1", "_best1", "_age1", "_count1")
 

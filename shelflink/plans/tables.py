@@ -22,13 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a small input arrives in fewer splits than there are cores;
-    a table with enough splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ``ts`` as an instant (the files carry UTC wall-clock times), so no
     result depends on the session's time zone."""
@@ -58,7 +51,7 @@ def forget() -> None:
 @shared
 def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page-summary table: read by everything after it, so it is written once."""
-    return extract_pages(spread(table(spark, sf_dir, "pages")))
+    return extract_pages(table(spark, sf_dir, "pages"))
 
 
 @shared
@@ -84,7 +77,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr(steps).alias("step_id"),
             F.col("doc_id").alias("pos"),
             F.expr("concat('D', doc_id)").alias("product_id"),
-            F.expr("trim(left(split(text, '\n')[0], 60))").alias("title"),
+            F.expr("trim(split(text, '\n')[0])").alias("title"),
             F.expr("cast(n_chars as int)").alias("price"),
             F.lit("JPY").alias("currency"),
         )

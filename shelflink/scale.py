@@ -55,56 +55,36 @@ def carry_last(df: DataFrame, key: str, order: list[str], bucket: str, values: d
         key, "_bucket", *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values]
     )
     seen = cut.withColumns({f"_i_{n}": F.last(c, ignorenulls=True).over(inside) for n, c in values.items()})
-    joined = seen.join(carried, [key, "_bucket"])
+    carried = carried.withColumnsRenamed({key: "_key", "_bucket": "_b"})
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_b"))
+    joined = seen.join(carried, same).drop("_key", "_b")
     return joined.withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in values}).drop(
         "_bucket", *[f"_i_{n}" for n in values], *[f"_c_{n}" for n in values]
     )
 
 
-BUCKET_ROWS = 200_000
+BUCKET_ROWS = 20_000
 
 
-def number_rows(
-    df: DataFrame, order: str, name: str, buckets: int = 1024, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """Adds 1, 2, 3, ... in the order of the unique numeric column ``order``.
+def number_rows(df: DataFrame, order: str, name: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Adds 1, 2, 3, ... in the order of the unique column ``order``.
 
-    A window without partitions would sort everything in one task.  Instead ``order``
-    is cut at (at most ``buckets``) approximate quantiles, rows are numbered inside each
-    bucket, and buckets are shifted by the rows before them.  The cut points are the
-    only values that reach the driver; as literals they stay the same in every retry.
-    Fewer cuts are used while a bucket would hold less than ``BUCKET_ROWS`` rows.
+    A window without partitions would sort everything in one task.  Instead rows are dealt by
+    range into buckets of about ``bucket_rows``, numbered inside their bucket, and shifted by the
+    rows before it.  The input is evaluated once and the dealt rows are a table, so a lost
+    executor cannot move the borders between buckets.
     """
-    points = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(order, points, 10_000).alias("cuts"), F.count("*").alias("n")).first()
-    every = max(1, -(-buckets * bucket_rows // max(found.n, 1)))
-    cuts = sorted(set((found.cuts or [])[every - 1 :: every]))
-    placed = df.withColumn(
-        "_bucket",
-        F.expr(_search(cuts, order)),
-    )
+    once = stage(df)
+    buckets = max(1, -(-once.count() // bucket_rows))
+    placed = stage(once.repartitionByRange(buckets, order).withColumn("_bucket", F.spark_partition_id()))
     sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    # one row per bucket, so this window sees at most ``buckets`` rows
-    offsets = sizes.select(
-        "_bucket",
-        (F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")).alias("_offset"),
-    )
+    # one row per bucket, so this window sees one row for every ``bucket_rows`` of the table
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
     return (
         placed.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_bucket")
         .withColumn(name, F.col("_inside") + F.col("_offset"))
         .drop("_bucket", "_inside", "_offset")
     )
-
-
-def _search(cuts: list, order: str) -> str:
-    """Binary search over the cut points as nested ``if``s (log2 comparisons a row)."""
-
-    def half(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if({order} < {cuts[mid]}L, {half(lo, mid)}, {half(mid + 1, hi)})"
-
-    return half(0, len(cuts))

@@ -184,16 +184,19 @@ def write_imported(pack: DataFrame, public_path: str, private_path: str) -> None
     sites.write.mode("overwrite").json(f"{private_path}/sites")
 
 
-def export_names(exports: DataFrame, days_kept: int = 3) -> DataFrame:
-    """``exports(kind, at)`` -> file name with the day's running number.  Numbers restart
-    every day (a window per day, and a day has few exports); the newest days are kept."""
-    per_day = Window.partitionBy("day").orderBy("at")
+def export_names(exports: DataFrame) -> DataFrame:
+    """``exports(kind, at)`` -> file name with the day's running number (numbers restart every
+    day).  A day is cut into minutes, numbered inside a minute and shifted by the minutes before
+    it, so a busy day is no single task; rows of one instant are told apart by their columns."""
     base = case(*[(f"kind = '{k}'", f"'{v}'") for k, v in FILE_NAMES.items()], default="'qa-tests'")
-    days = exports.select(F.date_format("at", "yyyy-MM-dd").alias("day")).distinct().orderBy(F.desc("day")).limit(days_kept)
+    placed = exports.withColumn("day", F.date_format("at", "yyyy-MM-dd")).withColumn("_minute", F.date_trunc("minute", "at"))
+    sizes = placed.groupBy("day", "_minute").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("day", "_minute", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("day", "_minute").orderBy("at", *[c for c in exports.columns if c != "at"])
     return (
-        exports.withColumn("day", F.date_format("at", "yyyy-MM-dd"))
-        .join(F.broadcast(days), "day", "left_semi")  # days_kept rows
-        .withColumn("seq", F.row_number().over(per_day))
+        placed.join(offsets, ["day", "_minute"])
+        .withColumn("seq", (F.row_number().over(inside) + F.col("_before")).cast("int"))
         .withColumn("file_name", F.expr(f"format_string('%s-%s-%03d.json', {base}, day, seq)"))
+        .drop("_minute", "_before")
     )
-

@@ -54,26 +54,21 @@ def ttl_cache(log: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 def capture_upserts(log: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """``log(page_key, capture_no, requests, cache_hit, grade, novelty, ts)``: the merged
-    record of a page after each batch (update mode).  State per page is its first
-    novelty and the last ``max_observations`` observations."""
+    record of a page after each batch (update mode).  State per page is its first novelty, the
+    last ``max_observations`` observations and whether any visit hit the cache."""
     keep = cfg.max_observations
 
     def fold(key, frames, state: GroupState):
-        novelty, visits, numbers, requests, hits, grade = (
-            state.get if state.exists else (None, 0, [], [], [], "")
-        )
-        numbers, requests, hits = list(numbers), list(requests), list(hits)
+        novelty, visits, numbers, requests, hit, grade = state.get if state.exists else (None, 0, [], [], False, "")
+        numbers, requests = list(numbers), list(requests)
         for e in pd.concat(list(frames)).sort_values("capture_no").itertuples(index=False):
             novelty = int(e.novelty) if visits == 0 else novelty
             visits += 1
-            numbers, requests, hits = (
-                (numbers + [int(e.capture_no)])[-keep:],
-                (requests + [int(e.requests)])[-keep:],
-                (hits + [bool(e.cache_hit)])[-keep:],
-            )
+            numbers, requests = (numbers + [int(e.capture_no)])[-keep:], (requests + [int(e.requests)])[-keep:]
+            hit = hit or bool(e.cache_hit)
             grade = e.grade
-        state.update((novelty, visits, numbers, requests, hits, grade))
-        cache = "PASS" if any(hits) else ("FAIL" if visits > 1 else "NOT_TESTED")
+        state.update((novelty, visits, numbers, requests, hit, grade))
+        cache = "PASS" if hit and visits > 1 else "NOT_TESTED"
         yield pd.DataFrame(
             [(key[0], novelty, visits, grade, cache, ",".join(map(str, numbers)), sum(requests))],
             columns=["page_key", "novelty", "visits", "grade", "cache_behavior", "observed", "requests"],
@@ -82,7 +77,7 @@ def capture_upserts(log: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     return log.groupBy("page_key").applyInPandasWithState(
         fold,
         "page_key string, novelty int, visits bigint, grade string, cache_behavior string, observed string, requests bigint",
-        "novelty int, visits bigint, numbers array<bigint>, requests array<bigint>, hits array<boolean>, grade string",
+        "novelty int, visits bigint, numbers array<bigint>, requests array<bigint>, hit boolean, grade string",
         "update",
         GroupStateTimeout.NoTimeout,
     )

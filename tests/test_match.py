@@ -101,7 +101,18 @@ def test_search_is_exact(spark):
     assert got == want and len(want) > 50
 
 
-def test_search_cuts_each_answer_to_a_page(spark):
+def test_a_page_size_cuts_answers_only_where_it_is_set(spark):
     items = spark.createDataFrame([(i, "s", "search", i, "common title") for i in range(50)], "item_id int, store string, step_id string, pos int, title string")
-    out = search_catalogue(spark.createDataFrame([("common title",), ("共通の題名",)], "query string"), items)
-    assert sorted(r.item_id for r in out.collect()) == list(range(30))
+    asked = spark.createDataFrame([("common title",), ("共通の題名",)], "query string")
+    assert sorted(r.item_id for r in search_catalogue(asked, items).collect()) == list(range(50))
+    assert sorted((r.item_id, r.pos) for r in search_catalogue(asked, items, Config(items_per_step=30)).collect()) == [(i, i) for i in range(30)]
+
+
+def test_long_titles_are_scored_exactly_and_one_by_one():
+    """Repeats beyond any counter, and one very long title between short ones."""
+    from shelflink.functions.scores import overlap_arrays
+
+    left = ["a" * 4500, "a" * 6000, "ab" * 50_000, "abc", "x" * 2000 + "y", ""]
+    right = ["a" * 4400, "b" * 6000, "ab" * 49_000, "abd", "y" + "x" * 2000, "abc"]
+    dice, lcs = overlap_arrays(left, right)
+    assert dice.tolist() == [99, 0, 99, 50, 100, 0] and lcs.tolist() == [98, 0, 98, 67, 100, 0]

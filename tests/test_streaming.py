@@ -104,7 +104,7 @@ def test_capture_upserts(spark, tmp_path):
     out = replay(spark, log, S.capture_upserts, tmp_path, mode="update")
     last = {r.page_key: r for r in out.orderBy("visits").collect()}
     assert (last["p1"].novelty, last["p1"].visits, last["p1"].observed) == (99, 8, "7,10,13,16,19,22") and last["p1"].cache_behavior == "PASS"
-    assert last["p0"].cache_behavior == "FAIL" and last["p0"].grade == "found"
+    assert last["p0"].cache_behavior == "NOT_TESTED" and last["p0"].grade == "found"
 
 
 def test_windowed_health_and_counts(spark, tmp_path):
