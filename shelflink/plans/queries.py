@@ -14,7 +14,7 @@ from ..functions import urls as U
 from ..functions.scores import containment, estimate_cny, match_label, resolve_rate, score_pairs
 from ..operators import cache, captures, classify, clean, fingerprint, health, identifiers, match, quality, redact, replay
 from ..operators.search import search_catalogue
-from ..sources import reports
+from ..sources import reports, responses
 from ..streaming import gates, state
 from . import tables as T
 from .resolve import store_answers, distinct_requests, with_requests
@@ -781,3 +781,97 @@ def containment_bands(spark, sf_dir):
     )
     live = forms.where("a <> '' and b <> ''")
     return live.groupBy(F.expr(containment("a", "b")).alias("score")).agg(F.count("*").alias("pairs"))
+
+
+# --- captured store responses ----------------------------------------------------------------
+# Bodies are written from the columns of ``part`` by one template per store and outcome, parsed
+# back, and compared with the columns: key mod 5 picks the store, key div 5 mod 4 the outcome.
+
+_PAD = "concat('<!-- ', repeat('x', 3200), ' -->')"
+_PRICE = "format_number(p_size * 1000 + 100, 0)"
+_BODY = {
+    "dlsite": (
+        f"""concat({_PAD}, '<div id="search_result_list"><li data-list_item_product_id="RJ', p_partkey, '"><dl><dd class="work_name"><div><a href="//www.dlsite.com/x/RJ',
+        p_partkey, '.html" title="', p_name, '">short</a></div></dd><dd class="maker_name"><a href="/m">', p_brand, ' &amp; co</a> <span class="author"><a>by ', p_size,
+        '</a></span></dd><dd class="work_category type_MNG"><a href="#">', p_type, '</a></dd><dd class="work_price_wrap"><span class="work_price"><span class="work_price_base">',
+        {_PRICE}, '</span><span class="work_price_suffix">円</span></span></dd></li></div>')""",
+        f"concat({_PAD}, '<div class=\"work_not_found\">')", "'<title>403 Forbidden</title>'",
+    ),
+    "fanza": (
+        f"""concat('<title>x</title>', repeat(' ', 1000), '<a href="https://www.dmm.co.jp/dc/doujin/-/detail/=/cid=d_', p_partkey, '/?t=1"><p class="text-sm font-bold line-clamp-2">',
+        p_name, '</p></a><p class="text-[#b42f59] x"><span class="font-bold text-lg">', {_PRICE}, '円</span></p><p class="text-xs">サークル：', p_brand,
+        '</p><span class="inline-block text-white bg">', p_type, '</span>')""",
+        "'検索結果 0 件'", "'<div id=\"agecheck\">'",
+    ),
+    "melonbooks": (
+        f"""concat({_PAD}, '<ul><li class="product_', p_partkey + 100000, '"><p class="item-ttl product_title"><a>', p_name, '</a></p><p class="item-price">&yen;', {_PRICE},
+        '</p><a href="/circle/index.php?circle_id=5" title="', p_brand, '">x</a><a href="/s?text_type=author&name=x" title="by ', p_size,
+        '">x</a><a href="/l?category_id=3" title="', p_type, '">x</a></li></ul>')""",
+        f"concat({_PAD}, '該当する商品はありません')", "'x'",
+    ),
+    "pixiv": (
+        """concat('{"error":false,"body":{"illustManga":{"total":1,"data":[{"id":"', p_partkey, '","title":" ', p_name, ' ","userName":"', p_brand, '","xRestrict":',
+        p_size % 2, ',"url":"https://i.test/1.jpg"},{"title":"no id"}]}}}')""",
+        "'{\"body\":{\"illustManga\":{\"data\":[],\"total\":0}}}'", "'<html>'",
+    ),
+    "fantia": (
+        """concat('<div><a class="x" href="/posts/', p_partkey, '" title="t">x 「<b>', p_name, '</b>」</a><a href="/fanclubs/9">', p_brand, '</a></div>')""",
+        "'検索結果'", "'<a href=\"/sessions/signin\">'",
+    ),
+}
+
+
+def _parsed_parts(spark, sf_dir):
+    names = list(_BODY)
+    store = f"element_at(array({', '.join(map(repr, names))}), cast(p_partkey % 5 as int) + 1)"
+    pick = " ".join(
+        f"when p_partkey % 5 = {k} then case when p_partkey div 5 % 4 < 2 then {ok} when p_partkey div 5 % 4 = 2 then {none} else {bad} end"
+        for k, (ok, none, bad) in enumerate(_BODY.values())
+    )
+    responses_ = T.table(spark, sf_dir, "part").selectExpr(
+        f"{store} as store", "1 as tier", "p_name as query", "cast(p_partkey as string) as step_id", "200 as http_status", "'' as final_url",
+        f"case {pick} end as body", "cast(null as timestamp) as ts",
+    )
+    return responses.parse_responses(responses_)
+
+
+_SQL_STORE = "['dlsite','fanza','melonbooks','pixiv','fantia'][(p_partkey % 5)::int + 1]"
+
+
+@query(
+    "response_reasons",
+    f"""SELECT p_partkey::varchar AS step_id, {_SQL_STORE} AS store, p_partkey // 5 % 4 < 3 AS ok, CASE WHEN p_partkey // 5 % 4 < 2 THEN 'ok' WHEN p_partkey // 5 % 4 = 2 THEN 'not-found'
+      ELSE ['blocked','age-check','unexpected-page','invalid-json','login-required'][(p_partkey % 5)::int + 1] END AS reason,
+      (p_partkey // 5 % 4 < 2)::int AS item_count FROM part""",
+)
+def response_reasons(spark, sf_dir):
+    return _parsed_parts(spark, sf_dir).select("step_id", "store", "ok", "reason", "item_count")
+
+
+@query(
+    "response_items",
+    f"""WITH p AS (SELECT *, p_partkey % 5 AS s FROM part WHERE p_partkey // 5 % 4 < 2)
+    SELECT {_SQL_STORE} AS store, ['RJ','d_','','',''][s::int + 1] || (p_partkey + CASE WHEN s = 2 THEN 100000 ELSE 0 END) AS product_id, p_name AS title,
+      CASE s WHEN 0 THEN p_brand || ' & co' ELSE p_brand END AS maker, CASE WHEN s IN (0, 2) THEN 'by ' || p_size WHEN s = 3 THEN p_brand END AS author,
+      CASE WHEN s < 3 THEN p_type ELSE '' END AS category, CASE WHEN s < 3 THEN (p_size * 1000 + 100)::int END AS price,
+      CASE WHEN s = 3 THEN (p_size % 2)::int END AS age_rating, 0 AS pos FROM p""",
+)
+def response_items(spark, sf_dir):
+    items = responses.store_items(_parsed_parts(spark, sf_dir))
+    author = F.when(F.col("store").isin("dlsite", "melonbooks", "pixiv"), F.col("author"))
+    category = F.when(F.col("store").isin("pixiv", "fantia"), "").otherwise(F.col("category"))
+    rating = F.when(F.col("store") == "pixiv", F.col("age_rating"))
+    return items.select("store", "product_id", "title", "maker", author.alias("author"), category.alias("category"), "price", rating.alias("age_rating"), F.col("pos").cast("int").alias("pos"))
+
+
+@query(
+    "product_pages",
+    """SELECT p_partkey::varchar AS url, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS title, CASE WHEN p_partkey % 3 < 2 THEN (p_size * 1000 + 100)::int END AS price,
+      CASE WHEN p_partkey % 3 < 2 THEN CASE WHEN p_size * 1000 + 100 < 1000 THEN '' ELSE (p_size + 0)::varchar || ',' END || '100円' END AS price_text FROM part""",
+)
+def product_pages(spark, sf_dir):
+    body = (
+        f"concat(if(p_partkey % 3 < 2, {_PAD}, ''), '<h1 itemprop=\"name\" id=\"work_name\"> ', p_name, ' </h1><span class=\"work_price_base\">', {_PRICE},"
+        " '</span><span class=\"work_price_suffix\">円</span>')"
+    )
+    return responses.parse_product_page(T.table(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) as url", f"{body} as body"))
