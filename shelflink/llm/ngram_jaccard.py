@@ -328,10 +328,12 @@ def _across(postings: DataFrame, nodes: DataFrame, roots: DataFrame, t: Fraction
     Lists that share nodes are one neighbourhood.  Its nodes are compared band by band in blocks:
     each task gets two blocks of at most about ``BLOCK_NODES`` bitmaps and returns the few pairs
     that pass, so neither pairs nor a whole neighbourhood are ever rows of one task."""
-    own = nodes.join(roots, nodes["key"] == roots["a"], "left").select("node", "n", "bitmap", F.coalesce("b", "key").alias("root"))
+    named = nodes.select("key", F.col("number").alias("root"))  # a short name for each component
+    own = nodes.join(roots, nodes["key"] == roots["a"], "left").withColumn("top", F.coalesce("b", "key")).select("node", "n", "bitmap", "top")
+    own = stage(own.join(named, F.col("top") == F.col("key")).select("node", "n", "bitmap", "root"))
     placed = postings.join(own.select("node", "root"), "node")
-    open_ = stage(placed.groupBy("signature").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("node").alias("first")).where("r <> s").select("signature", "first"))
-    edges = stage(postings.join(open_, "signature").select("node", "first").distinct())
+    open_ = stage(placed.groupBy("signature").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("signature"))
+    edges = stage(postings.join(open_, "signature").select("node", F.col("a").alias("first")).distinct())
     hoods = connected_components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")))
     members = edges.select("node").distinct().join(hoods, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("hood"))
     band = F.length(F.bin("n")) - 1
@@ -386,7 +388,7 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = stage(_index(docs, words, t, buckets_for(docs.count(), PART_NODES)))
     found = index.where("part is null").select("doc_id", "n", "key", "node", "last", "bitmap")
-    nodes = stage(found.where("n > 0").groupBy("key", "node", "n", "last").agg(F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"), F.lit(0).cast("long").alias("often")))
+    nodes = stage(found.where("n > 0").groupBy("key", "node", "n", "last").agg(F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"), F.lit(0).cast("long").alias("often")).withColumn("number", F.monotonically_increasing_id()))
     lists = stage(_lists(index))
     pairs = lists.where("b is not null").groupBy("a", "b").agg(F.sum("w").alias("w"))
     named = lists.where("b is null")
@@ -404,8 +406,10 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
             others = named.join(often, "a", "left_anti").select(F.col("a").alias("signature"))
             postings = postings.unionByName(_plain(docs, words, t).join(others, "signature", "left_semi"))
             nodes = nodes.withColumn("often", F.col("n"))
-        centres = stage(postings.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("signature", "a"))
-        stars = postings.join(centres, "signature").where("node <> a").select("a", F.col("node").alias("b"), F.lit(0).cast("long").alias("w"))
+        # only lists of two nodes or more matter from here on; most signatures have one
+        centres = postings.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("signature", "a")
+        postings = stage(postings.join(stage(centres), "signature"))
+        stars = postings.where("node <> a").select("a", F.col("node").alias("b"), F.lit(0).cast("long").alias("w"))
         candidates = pairs.unionByName(stars.distinct()).groupBy("a", "b").agg(F.max("w").alias("w"))
     candidates = stage(_possible(candidates, nodes, t))
 
