@@ -105,3 +105,20 @@ def test_resolution_over_responses(spark, parsed):
     assert got[2].status == "error" and got[2].requests == 7 and got[2].stores[0].health == "blocked"
     assert [l.label for l in got[2].search_links][:1] == ["Pixiv 作者: 絵師"] and [l.label for l in got[0].search_links] == ["DLsite", "Pixiv 作者: 絵師"]
     assert (got[3].status, got[3].state_reason, got[3].requests) == ("unrecognized", "site-root", 0)
+
+
+def test_other_stores_are_scored_with_what_they_were_asked(spark):
+    """The second store is asked the first query only; an item that equals the second one is no match."""
+    from shelflink.plans.resolve import resolve
+
+    nothing = PAD + "work_not_found"
+    rows = [(step, "dlsite", tier, q, 200, "", nothing, None) for step, tier in (("primary", 1), ("female", 2)) for q in ("月の階段物語", "銀色の帆船日誌")]
+    rows.append(("search", "fanza", 1, "月の階段物語", 200, "", "<title>x</title>" + " " * 1000 + CARD_B.format(id="d_7", title="銀色の帆船日誌"), None))
+    p = R.parse_responses(spark.createDataFrame(rows, schemas.RESPONSES))
+    queries = ["月の階段物語", "銀色の帆船日誌"]
+    pages = spark.createDataFrame(
+        [(0, True, "strong-signal", ["x"], (queries[0], "title", queries[0], "high", [], None, queries), queries, [])],
+        "page_id int, allowed boolean, reason string, signals array<string>, extraction struct<raw_title:string,source:string,cleaned_title:string,"
+        "confidence:string,notes:array<string>,chapter_hint:int,variants:array<string>>, queries array<string>, artists array<string>")
+    got = resolve(pages, R.store_items(p), R.search_steps(p)).first()
+    assert got.status == "no_result" and not {s.kind for s in got.stores} & {"high", "possible"}
