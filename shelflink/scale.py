@@ -33,7 +33,16 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def drop_stage(staged: DataFrame) -> None:
+    """Delete the table behind a DataFrame that ``stage`` returned, once nothing reads it any more."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged._staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def carry_last(df: DataFrame, key: str, order: list[str], bucket: str, values: dict[str, str]) -> DataFrame:
