@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import stage
+from ..scale import drop_stage, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,5 +35,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         sides = ends.groupBy("a").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
         if sides.where("out > 1 or (out = 1 and least = 0)").isEmpty():
             break
-        edges = stage(_small_star(_large_star(edges).where("a <> b")).distinct())
+        before, edges = edges, stage(_small_star(_large_star(edges).where("a <> b")).distinct())
+        drop_stage(before)
     return edges
