@@ -53,7 +53,7 @@ BLOCK_SHINGLES = 1 << 20
 #: Candidate documents whose ids may be broadcast; beyond that the texts are joined by a shuffle.
 SMALL_SIDE = 1_000_000
 #: Bitmaps in one block of the comparison of long lists.
-BLOCK_NODES = 1024
+BLOCK_NODES = 8192
 #: Nodes that share a part of the inverted index.
 PART_NODES = 8192
 _U = np.uint64
