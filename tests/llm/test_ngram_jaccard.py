@@ -73,6 +73,7 @@ def corpus(seed, n):
 @pytest.mark.parametrize("k, t, frequent", [(4, Fraction(85, 100), 16), (5, Fraction(4, 5), 2)])
 def test_components_equal_brute_force(spark, monkeypatch, k, t, frequent):
     monkeypatch.setattr(J, "FREQUENT", frequent)
+    monkeypatch.setattr(J, "BLOCK_NODES", 8)
     rows = corpus(3, 260) + [(None, "a1 a2 a3 a4 a5 a6"), (900, None), (901, ""), (902, " \t\n "), (903, "one"), (904, "ONE"), (905, "x " * 30_000)]
     rows += rows[:3]
     assert run(spark, rows, k, t) == brute(rows, k, t)
