@@ -115,3 +115,35 @@ def test_costly_rules_that_reject_nothing_come_last(spark):
     docs = spark.createDataFrame([(k, "word " * 60 + str(k)) for k in range(300)], "doc_id bigint, text string")
     rules = [R.Rule("costly", "aggregate(sequence(1, 3000), 0, (a, x) -> (a + x) % 7) > 99"), R.Rule("cheap", "doc_id % 2 = 0")]
     assert [r.name for r in R.rank_rules(docs, rules)] == ["cheap", "costly"]
+
+
+def test_licenses_of_several_paragraphs_amid_prose(spark):
+    """Standard layouts with blank lines, notices inside sentences, and a whole long licence."""
+    mit = C.TEMPLATES["MIT"][1]
+    mit = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    assert mit.count("\n\n") == 2
+    bsd = {}
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        text = C.TEMPLATES[name][1].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n2. ").replace(" 3. ", "\n3. ").replace(" THIS", "\n\nTHIS")
+        bsd[name] = text.replace("the copyright holder nor the names", "the University nor the names")
+    gpl = C.TEMPLATES["GPL-3.0"][1]
+    apache = (C.Path(C.__file__).parent / "license_texts" / "Apache-2.0.txt").read_text()
+    amid = lambda x: f"Some words come first.\nCopyright 2020 A. Writer\n\n{x}\n\nAnd then the text goes on, " + " ".join(f"word{k}" for k in range(600))
+    rows = [
+        (1, amid(mit)), (2, amid(bsd["BSD-2-Clause"])), (3, amid(bsd["BSD-3-Clause"])), (4, amid(gpl.replace("modify it", "modify\nit"))),
+        (5, "The tool, as its page says, is licensed under the Apache License, Version 2.0. by its makers, who also wrote the rest of this long sentence."),
+        (6, "x " * 300 + apache), (7, amid("nothing of the kind")), (8, amid(mit) + amid(mit)), (9, "All rights reserved. " * 3000),
+        (10, amid("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. It is long.")),
+    ]
+    by = {r.doc_id: r for r in C.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "Apache-2.0", "Apache-2.0", None, "MIT", "proprietary", "CC-BY-SA-4.0"]
+    assert [by[k].license for k in range(1, 11)] == want
+    assert by[1].dice == by[5].dice == by[6].dice == 1.0 and by[1].matches == "MIT:1.0000" and by[3].dice > 0.95
+    assert by[6].matches.count("Apache-2.0:1.0000") >= 25
+
+
+def test_license_templates_name_one_license_each():
+    seen = {}
+    for name, texts in C.TEMPLATES.items():
+        for text in texts:
+            assert seen.setdefault(frozenset(C.pairs(text)), name) == name
