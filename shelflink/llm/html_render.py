@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg math param source track".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas param source track".split())
+#: Parts of drawings and formulas that are not shown as text where they stand.
+HIDDEN |= frozenset("defs desc metadata symbol clippath mask annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
     " hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption tbody thead tfoot tr".split()
@@ -51,8 +53,9 @@ P_SCOPE = frozenset("td th table button caption html body li".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SHOWN = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_MARK = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -123,28 +126,84 @@ def build_tree(page: str) -> Node:
     return root
 
 
-def hidden_selectors(root: Node) -> set[str]:
-    """Simple selectors (tag, .class, #id) that the page's own style sheets hide."""
-    found, todo = set(), [root]
+def _screen(condition: str) -> bool:
+    """Whether a media query list holds on any screen: no width or other feature, no other medium."""
+    return any(re.fullmatch(r"(?:only\s+)?(?:all|screen)|", x.strip()) for x in condition.lower().split(","))
+
+
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) that hold on every screen, in order.  Blocks of @-rules that depend
+    on a condition are skipped whole; those of @layer and of @media for screens are read."""
+    sheet, selectors = _COMMENT.sub(" ", sheet), ""
+    at, skipped, depth = 0, 0, 0  # skipped: the depth at which a block is left out, if any
+    for mark in _MARK.finditer(sheet):
+        if mark[0][0] in "\"'":
+            continue
+        head = sheet[at : mark.start()].strip()
+        if mark[0] == "{":
+            depth += 1
+            name = re.match(r"@([\w-]+)\s*(.*)", head, re.S)
+            if name and not skipped and not (name[1].lower() == "layer" or name[1].lower() == "media" and _screen(name[2])):
+                skipped = depth
+            selectors = "" if name else head
+        elif mark[0] == "}":
+            if not skipped and selectors:
+                yield selectors, head
+            selectors, skipped, depth = "", 0 if skipped >= depth else skipped, max(0, depth - 1)
+        elif selectors or skipped:  # a semicolon inside declarations
+            continue
+        at = mark.end()
+
+
+def hidden_selectors(root: Node) -> dict[str, dict[str, tuple[bool, bool, int]]]:
+    """Simple selectors (tag, .class, #id) of the page's own style sheets, with what the last rule
+    says on display and visibility: (important, hides, place)."""
+    sheets, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.tag == "style":
-            for selectors, body in _RULE.findall("".join(node.children)):
-                if _GONE.search(body):
-                    found |= {s for s in (x.strip().lower() for x in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", s)}
-        todo += [c for c in node.children if isinstance(c, Node)]
+        if node.tag == "style" and _screen(node.attributes.get("media", "")):
+            sheets.append("".join(node.children))
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    found, place = {}, 0
+    for sheet in sheets:
+        for selectors, body in _rules(sheet):
+            said = _said(body)
+            for s in (x.strip().lower() for x in selectors.split(",")) if said else ():
+                if re.fullmatch(r"[.#]?[\w-]+", s):
+                    for what, (important, hides) in said.items():
+                        place += 1
+                        last = found.setdefault(s, {}).get(what)
+                        if last is None or important >= last[0]:
+                            found[s][what] = (important, hides, place)
     return found
 
 
-def visible(node: Node, selectors: set[str]) -> bool:
+def _said(declarations: str) -> dict[str, tuple[bool, bool]]:
+    """What declarations say on display and visibility: (important, hides)."""
+    said = {}
+    for m in _SHOWN.finditer(declarations):
+        now = (bool(m[3]), m[2].lower() in ("none", "hidden", "collapse"))
+        if now >= (said.get(m[1].lower(), now)[0], False):
+            said[m[1].lower()] = now
+    return said
+
+
+def visible(node: Node, selectors: dict[str, dict[str, tuple[bool, bool, int]]]) -> bool:
+    """Of all rules for the node the most specific one (id, class, tag) counts, of these the last;
+    its own style attribute comes before them, and what is important before all."""
     a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a or _GONE.search(a.get("style", "")):
-        return False
-    if node.tag == "dialog" and "open" not in a:
+    if node.tag in HIDDEN or node.tag == "dialog" and "open" not in a:
         return False
-    if selectors:
-        names = {node.tag, "#" + a.get("id", "").lower(), *("." + c for c in a.get("class", "").lower().split())}
-        return not names & selectors
+    own = _said(a.get("style", ""))
+    names = [(1, node.tag), (3, "#" + a["id"].lower()) if "id" in a else (0, ""), *((2, "." + c) for c in a.get("class", "").lower().split())] if selectors else []
+    for what in ("display", "visibility"):
+        rules = [(x[0], rank, x[2], x[1]) for rank, s in names if (x := selectors.get(s, {}).get(what))]
+        if what in own:
+            rules.append((own[what][0], 4, 0, own[what][1]))
+        elif what == "display" and "hidden" in a:
+            rules.append((False, 0, 0, True))
+        if rules and max(rules)[3]:
+            return False
     return True
 
 
@@ -187,14 +246,21 @@ class Page:
         return "\n".join(self.lines)
 
 
-def _cells(table: Node, selectors: set[str]) -> tuple[list[Node], list[list[tuple[Node, int]]]]:
-    """Captions, and rows of (cell, colspan), of the table itself and not of tables inside it."""
+def _span(cell: Node, name: str, most: int) -> int:
+    span = cell.attributes.get(name, "1").strip()
+    return min(int(span), most) if re.fullmatch(r"[0-9]{1,9}", span) and int(span) else 1
+
+
+def _cells(table: Node, selectors: dict) -> tuple[list[Node], list[list[tuple[Node | None, int]]]]:
+    """Captions, and rows of (cell, colspan), None for what a cell above covers, of the table itself and not of tables inside it."""
     captions, rows, todo = [], [], [iter(table.children)]
+    groups: list[int] = [0]  # where a group of rows begins; no rowspan goes beyond it
     loose: list[tuple[Node, int]] = []
     while todo:
         child = next(todo[-1], None)
         if child is None:
             todo.pop()
+            groups.append(len(rows))
         elif not isinstance(child, Node) or not visible(child, selectors):
             if isinstance(child, str) and child.strip():
                 captions.append(Node("div"))
@@ -203,25 +269,44 @@ def _cells(table: Node, selectors: set[str]) -> tuple[list[Node], list[list[tupl
             cells = []
             for cell in child.children:
                 if isinstance(cell, Node) and visible(cell, selectors):
-                    span = cell.attributes.get("colspan", "1")
-                    cells.append((cell, min(int(span), 1000) if span.isdigit() and int(span) else 1))
+                    cells.append((cell, _span(cell, "colspan", 1000)))
                 elif isinstance(cell, str) and cell.strip():
                     cells.append((Node("td"), 1))
                     cells[-1][0].children.append(cell)
             rows.append(cells)
         elif child.tag in ("tbody", "thead", "tfoot"):
+            groups.append(len(rows))
             todo.append(iter(child.children))
         elif child.tag in ("td", "th"):  # a row's tag is implied
             if not rows or rows[-1] is not loose:
                 loose = []
                 rows.append(loose)
-            loose.append((child, 1))
+            loose.append((child, _span(child, "colspan", 1000)))
         elif child.tag not in ("colgroup", "col"):
             captions.append(child)
-    return captions, rows
+    return captions, _spread(rows, set(groups))
 
 
-def _table(page: Page, table: Node, selectors: set[str]) -> None:
+def _spread(rows: list[list[tuple[Node, int]]], groups: set[int]) -> list[list[tuple[Node | None, int]]]:
+    """Rows with an empty place wherever a cell of an earlier row reaches down."""
+    out, down = [], {}  # column -> rows that its cell still covers
+    for at, row in enumerate(rows):
+        down = {} if at in groups else {k: n - 1 for k, n in down.items() if n > 1}
+        cells, column = [], 0
+        for cell, span in row:
+            while column in down:
+                cells.append((None, 1))
+                column += 1
+            cells.append((cell, span))
+            rest = 65534 if cell.attributes.get("rowspan", "").strip() == "0" else _span(cell, "rowspan", 65534)
+            if rest > 1:
+                down |= {k: rest for k in range(column, column + span)}
+            column += span
+        out.append(cells)
+    return out
+
+
+def _table(page: Page, table: Node, selectors: dict) -> None:
     """Columns as wide as their widest line; a cell of several lines takes several lines."""
     captions, rows = _cells(table, selectors)
     for caption in captions:
@@ -232,7 +317,8 @@ def _table(page: Page, table: Node, selectors: set[str]) -> None:
         cells = []
         for cell, span in row:
             inner = Page()
-            _walk(inner, cell, selectors)
+            if cell is not None:
+                _walk(inner, cell, selectors)
             cells += [inner.result().split("\n")] + [[""]] * (span - 1)
         drawn.append(cells)
     widths = [max((len(x) for r in drawn if k < len(r) for x in r[k]), default=0) for k in range(max(map(len, drawn), default=0))]
@@ -244,7 +330,7 @@ def _table(page: Page, table: Node, selectors: set[str]) -> None:
                 page.end()
 
 
-def _walk(page: Page, top: Node, selectors: set[str]) -> None:
+def _walk(page: Page, top: Node, selectors: dict) -> None:
     """Depth-first without recursion (but for cells, which are pages of their own)."""
     stack: list = [("open", top, False, "")]
     while stack:
@@ -281,7 +367,7 @@ def _walk(page: Page, top: Node, selectors: set[str]) -> None:
                     page.indent += 2
                 if marker:
                     page.marker = marker
-            elif tag in ("td", "th"):
+            elif tag in ("td", "th", "text", "mtd"):  # labels of a drawing and cells of a matrix stand apart
                 page.text(" ", False)
             pre = pre or tag in ("pre", "textarea", "xmp")
             number, todo = node.attributes.get("start", "1"), []

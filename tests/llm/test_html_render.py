@@ -34,3 +34,22 @@ def test_every_visible_word_is_kept_in_order(spark):
     rows = sorted(H.extract_text(pages).collect(), key=lambda r: r.n_chars)
     assert rows[0].text == "" and rows[1].text.split() == "- n1 h a b c © f".split() and rows[1].n_chars == len(rows[1].text)
     assert H.extract_text(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<style>@media print{.main{display:none}} .ad{display:none}</style><div class=main>a</div><div class=ad>b</div>", "a"),
+    ("<style>@media (max-width:600px){nav{display:none} .x{color:red}}@supports (a:b){@media screen{nav{display:none}}}</style><nav>a</nav>", "a"),
+    ("<style>@import 'a;{.css'; @media screen{.x{display:none}} p{color:red}</style><p class=x>a</p>b", "b"),
+    ("<style media=print>p{display:none}</style><p>a", "a"), ("<style>@font-face{src:url(x)} .x{color:red;display:none;top:0}</style><p class=x>a</p>b", "b"),
+    ("<style>.main{display:none}</style><style>.main{display:block}</style><p class=main>a", "a"),
+    ("<style>.main{display:block}.main{display:none}</style><p class=main>a</p>b", "b"),
+    ("<style>p{display:none}.x{display:block}p{display:none}</style><p class=x>a<p>b</p>c", "a\n\nc"),
+    ("<style>.x{display:none!important}.x{display:block}</style><p class=x>a</p>b", "b"), ("<style>.x{display:none}</style><p class=x style='display:block'>a", "a"),
+    ("<style>/* .x{display:none} */.y{content:'}.x{display:none}'}</style><p class=x>a", "a"),
+    ("so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>.", "so x=2."), ("<svg><title>t</title><defs><text>d</text></defs><text>sales</text><text>costs</text></svg>", "sales costs"), ("<style>.x{display:flex}</style><p hidden class=x>a", "a"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a | b |  | c\nd |   |  | e\nf |   |  | g"),
+    ("<table><thead><tr><th rowspan=9>a<th>b</thead><tbody><tr><td>c<td>d</table>", "a | b\nc | d"),
+])
+def test_conditional_rules_drawings_and_rowspan(page, want):
+    assert H.render(page) == want
