@@ -13,7 +13,7 @@ Parquet and read again.  All stages but the last return the columns of ``documen
 * sentencepiece: ids of the best segmentation and the n best paths.
 
 Null columns pass through; null and empty texts are judged like any text; an empty input gives
-empty results from the second stage on (the classifier needs a positive to learn from).
+empty results; without a positive to learn from every document scores the share of positives.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from shelflink.scale import checkpoint_dir
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_pu.keep_good(docs, quality_pu.train(docs, labels))
+    return quality_pu.keep_good(docs, quality_pu.train_or_prior(docs, labels))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ the id), whose features come to the driver; scoring is one pass over all documen
 
 Edge cases: null text counts as empty; an empty text has all features zero and gets the score
 the model gives that; null labels are no labels; rows that repeat a label count once; without any
-positive no model can be learned, which is an error; repeated rows get equal scores; extra columns
-are ignored; an empty table to score gives an empty result.
+positive no model can be learned: ``train`` raises, ``train_or_prior`` scores every text with the
+prior; repeated rows get equal scores; extra columns are ignored; an empty table to score gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -118,6 +119,10 @@ def _features_of(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: features(t).tobytes())
 
 
+class NoPositives(ValueError):
+    """There is nothing to learn from."""
+
+
 def estimate_prior(labels: DataFrame) -> float:
     """Share of positives among labelled rows (with one row of each kind added)."""
     found = labels.agg(F.sum(F.expr("if(quality = 1, 1, 0)")).alias("good"), F.count("quality").alias("n")).first()
@@ -139,10 +144,19 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled:
     x = np.frombuffer(b"".join(r.x for r in sample), dtype=np.float32).reshape(len(sample), FEATURES)
     mark = np.array([r.trusted for r in sample], dtype=bool)
     if not mark.any():
-        raise ValueError("no trusted positive document to learn from")
+        raise NoPositives("no trusted positive document to learn from", prior)
     return fit_nn_pu(x[mark], x[~mark] if (~mark).any() else x, prior)
 
 
+def train_or_prior(docs: DataFrame, labels: DataFrame) -> QualityModel:
+    """As ``train``, but without a positive a constant model: every score is the prior."""
+    try:
+        return train(docs, labels)
+    except NoPositives as error:
+        prior = error.args[1]
+        return QualityModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log(prior / (1 - prior))), prior)
+
+
 def score_column(model: QualityModel, text: str = "text") -> Column:
     """The probability that a text is good."""
 

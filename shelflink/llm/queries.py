@@ -216,7 +216,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_classifier")
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality_pu.score_documents(docs, quality_pu.train(docs, table(spark, sf_dir, "labels")))
+    return quality_pu.score_documents(docs, quality_pu.train_or_prior(docs, table(spark, sf_dir, "labels")))
 
 
 @query("op5_language_id")

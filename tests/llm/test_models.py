@@ -78,3 +78,11 @@ def test_temperature_calibrates():
     p = L.softmax(logits)
     labels = np.array([rng.choice(3, p=x) for x in p])
     assert L.fit_temperature(logits * 4, labels) == pytest.approx(4, rel=0.15)
+
+
+def test_quality_without_a_positive_scores_the_prior(spark, corpus):
+    docs, labels, _ = corpus
+    for known in (labels.where("quality = 0"), labels.limit(0)):
+        model = Q.train_or_prior(docs, known)
+        assert all(r.score == pytest.approx(model.prior) for r in Q.score_documents(docs, model).collect())
+    assert Q.score_documents(docs.limit(0), Q.train_or_prior(docs.limit(0), labels.limit(0))).collect() == []

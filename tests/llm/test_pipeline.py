@@ -95,3 +95,10 @@ def test_every_text_is_encoded(stages):
 def test_run_gives_the_last_stage(spark, stages):
     _, encoded, folder = stages
     assert sorted((r.doc_id, tuple(r.ids)) for r in P.run(spark, folder).collect()) == sorted((r.doc_id, tuple(r.ids)) for r in encoded.collect())
+
+
+def test_empty_tables_pass_all_stages(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
