@@ -1,6 +1,8 @@
 """Quality log on a hand-made resolution: capture -> merge -> judge -> report -> replay."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from shelflink.operators import replay as RP
 from shelflink.operators.cache import cache_key, lookup, within_capacity
 from shelflink.operators.classify import classify_pages
 from shelflink.operators.clean import effective_queries, work_titles
+from shelflink.plans import queries
 from shelflink.plans.resolve import resolve
 from shelflink.scale import number_rows, stage
 from shelflink.sources import reports as R
@@ -270,3 +273,23 @@ def test_cache_lookup(spark):
     got = {(r.cache_key, r.s2): (r.entry_found, r.cache_hit) for r in lookup(q, e).collect()}
     assert got == {("a", 1900): (True, True), ("a", 1901): (False, False), ("b", 400): (True, False), ("b", 401): (False, False), ("c", 1): (False, False)}
     assert [r.cache_key for r in within_capacity(e, Config(cache_entries=1)).collect()] == ["a"]
+
+
+def test_identifier_scan_returns_encoded_text(spark, tmp_path):
+    """Against plain decoding of every run of escapes."""
+    rng = random.Random(8)
+    pieces = ["%E3%81%82", "%e4%bd%a0", "%C3%A9", "%52%4A", "%C3", "%FF%FE", "%ED%A0%80", "%F0%9F%98%80", "%", "/g/", " ", "a", "\n", "anonymity-lint: allow"]
+    texts = ["".join(rng.choices(pieces, weights=[4] * 8 + [2] * 5 + [1], k=rng.randrange(12))) for _ in range(400)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = []
+    for k, text in enumerate(texts):
+        for n, line in enumerate((text or "").split("\n"), 1):
+            for run in re.findall(r"(?:%[0-9A-Fa-f]{2}){2,}", "" if "anonymity-lint: allow" in line else line):
+                try:
+                    if not bytes.fromhex(run.replace("%", "")).decode().isascii():
+                        want.append((k, n, run))
+                except UnicodeDecodeError:
+                    pass
+    got = queries.identifier_scan(spark, str(tmp_path)).where("kind = 'encoded-text'").collect()
+    assert len(want) > 50 and sorted((r.doc_id, r.line, r.match) for r in got) == sorted(want)
