@@ -44,7 +44,7 @@ def with_query_forms(requests: DataFrame, queries: str = "queries") -> DataFrame
 
 
 def score_rows(
-    rows: DataFrame, keys: list[str], payload: list[str], cfg: Config = DEFAULTS
+    rows: DataFrame, keys: list[str], payload: list[str], cfg: Config = DEFAULTS, scores: DataFrame | None = None
 ) -> DataFrame:
     """Best score of every row over all (query form, title form) pairs.
 
@@ -52,7 +52,8 @@ def score_rows(
     A row has at most 2 queries x 3 forms x 3 title forms.  All pairs of a row are
     exploded in the task that holds the row, so the map-side combine folds them back
     before the shuffle.  Of equal scores the first pair wins; penalties push fallback
-    queries back.
+    queries back.  Where ``scores(a, b, score, method)`` of distinct forms are known already they
+    are joined instead of computed again; pairs they lack are below their floor and count 0.
     """
     pairs = rows.withColumn(
         "_pair",
@@ -64,7 +65,10 @@ def score_rows(
         ),
     )
     flat = pairs.select(*keys, *payload, "title_nfkc", "chapter_hint", "query_forms", "_pair.*")
-    scored = score_pairs(flat)
+    if scores is None:
+        scored = score_pairs(flat)
+    else:
+        scored = flat.join(scores, ["a", "b"], "left").fillna(0, ["score"]).fillna("none", ["method"])
     penalty = case(
         *[(f"qpos = {i}", str(p)) for i, p in enumerate(cfg.variant_penalties[:-1])],
         default=str(cfg.variant_penalties[-1]),

@@ -12,12 +12,11 @@ from ..config import DEFAULTS
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions.scores import containment, estimate_cny, match_label, resolve_rate, score_pairs
-from ..operators import cache, captures, classify, clean, fingerprint, health, identifiers, match, quality, redact, replay
+from ..operators import cache, captures, classify, clean, fingerprint, health, identifiers, match, quality, redact, replay, similar
 from ..operators.search import search_catalogue
 from ..sources import reports, responses
 from ..streaming import gates, state
 from . import tables as T
-from .resolve import store_answers, distinct_requests, with_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -358,6 +357,38 @@ def match_scores(spark, sf_dir):
     )
 
 
+_FLOOR = 62
+_SIMILAR = f"""WITH x AS (SELECT DISTINCT {_sql_match_form(_sql_store_form(_TITLE))} AS a FROM pages), y AS (SELECT DISTINCT {_sql_match_form(_HEAD)} AS b FROM documents),
+    u AS (SELECT a, b FROM x JOIN y ON a <> '' AND b <> '' AND length(a) * 9 >= length(b) * 4 AND length(b) * 9 >= length(a) * 4),
+    ga AS (SELECT a, unnest({_GRAMS.format(x="a")}) AS g FROM x WHERE a <> ''), gb AS (SELECT b, unnest({_GRAMS.format(x="b")}) AS g FROM y WHERE b <> '' AND length(b) * 4 <= (SELECT max(length(a)) * 9 FROM x)),
+    ca AS (SELECT a, g, count(*) AS n FROM ga GROUP BY ALL), cb AS (SELECT b, g, count(*) AS n FROM gb GROUP BY ALL),
+    sh AS (SELECT a, b, sum(least(ca.n, cb.n)) AS shared FROM ca JOIN cb USING (g) GROUP BY a, b),
+    m AS (SELECT u.a, u.b, CAST(floor(200.0 * CAST(coalesce(shared, 0) AS DOUBLE) / (greatest(length(u.a) - 1, 1) + greatest(length(u.b) - 1, 1)) + 0.5) AS INT) AS dice,
+      CAST(floor(100.0 * CAST(CASE WHEN length(u.a) * 1000 < length(u.b) * 615 OR length(u.b) * 1000 < length(u.a) * 615 THEN 0 ELSE {_lcs_sql("u.a", "u.b")} END AS DOUBLE) / greatest(length(u.a), length(u.b)) + 0.5) AS INT) AS lcs,
+      CAST(least(length(u.a), length(u.b)) AS DOUBLE) / greatest(length(u.a), length(u.b)) AS r FROM u LEFT JOIN sh ON u.a = sh.a AND u.b = sh.b),
+    c AS (SELECT *, {_CONTAIN} AS cont FROM m),
+    s AS (SELECT a, b, CASE WHEN a = b THEN 100 ELSE greatest(cont, dice, lcs) END AS score, CASE WHEN a = b THEN 'exact'
+      WHEN greatest(cont, dice, lcs) = cont THEN 'containment' WHEN greatest(dice, lcs) = lcs AND lcs > dice THEN 'lcs' ELSE 'dice' END AS method FROM c)
+    SELECT a, b, CAST(score AS INT) AS score, method FROM s WHERE score >= {_FLOOR}"""
+
+
+def _titles(spark, sf_dir):
+    titles = T.page_info(spark, sf_dir).select("title").distinct().withColumn("_n", X.nfkc("title"))
+    asked = titles.select(F.expr(X.store_form("_n")).alias("q")).withColumn("_n", X.nfkc("q"))
+    heads = T.catalogue(spark, sf_dir).select("title").distinct().withColumn("_n", X.nfkc("title"))
+    return asked.select(F.expr(X.match_form("_n")).alias("a")), heads.select(F.expr(X.match_form("_n")).alias("b"))
+
+
+@query("match_indexed", _SIMILAR)
+def match_indexed(spark, sf_dir):
+    return similar.similar_pairs(*_titles(spark, sf_dir), floor=_FLOOR)
+
+
+@query("match_exact", _SIMILAR)
+def match_exact(spark, sf_dir):
+    return similar.all_pairs(*_titles(spark, sf_dir), floor=_FLOOR)
+
+
 @query(
     "match_ties",
     """WITH n AS (SELECT p_name AS query, count(*) AS c FROM part GROUP BY 1)
@@ -394,11 +425,7 @@ def page_states(spark, sf_dir):
 
 @query("store_answers")
 def store_answers_by_kind(spark, sf_dir):
-    pages = T.work_pages(spark, sf_dir)
-    answers = store_answers(
-        distinct_requests(with_requests(pages)), T.search_items(pages, T.catalogue(spark, sf_dir), T.FORCED), cfg=T.FORCED
-    )
-    return answers.groupBy("store", "kind", "health").agg(
+    return T.answered(spark, sf_dir).groupBy("store", "kind", "health").agg(
         F.count("*").alias("searches"), F.sum("requests").alias("requests"), F.sum("item_count").alias("items")
     )
 

@@ -9,6 +9,8 @@ aggregation after that is partitioned by that column, so none of them shuffles a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from ..functions.sql import Sql, case, let, quote
 from ..operators import match as M
 from ..operators.cache import cache_key
 from ..operators.health import severity, step_health, verdict_of
+from ..scale import stage
 from .stores import planned_steps, stores
 
 ITEM_FIELDS = [
@@ -62,9 +65,12 @@ def _with_answers(
     search_steps: DataFrame | None,
     cached: DataFrame | None,
     cfg: Config,
+    only: Sql = "true",
 ) -> DataFrame:
-    """request x planned step x item rows; a step without items is one row."""
-    plan = requests.withColumn("_step", F.explode(F.expr(planned_steps("queries", cfg))))
+    """request x planned step x item rows; a step without items is one row.  ``only`` is a
+    condition on the step."""
+    steps_asked = f"filter({planned_steps('queries', cfg)}, step -> {only})"
+    plan = requests.withColumn("_step", F.explode(F.expr(steps_asked)))
     # a store is scored with the queries it was asked: all forms of the first ones
     own = (
         f"filter(query_forms, q -> q.pos < if(_step.store_rank = 0, size(queries), {cfg.searched_variants_other}))"
@@ -74,7 +80,8 @@ def _with_answers(
         F.col(c) if c in search_items.columns else F.lit(None).cast(_ITEM_TYPES.get(c, "string")).alias(c)
         for c in ITEM_FIELDS
     ]
-    items = M.with_item_forms(search_items).select(
+    formed = search_items if "forms" in search_items.columns else M.with_item_forms(search_items)
+    items = formed.select(
         "store", "step_id", "query", "pos", "title_nfkc", "forms", F.struct(*payload).alias("item")
     )
     if search_steps is None:
@@ -160,24 +167,85 @@ def _executed(rows: DataFrame, cfg: Config) -> DataFrame:
     return ran_first.where(ran).drop("_new", "_best", "_age", "_count", "_ran1", "_best1", "_age1", "_count1")
 
 
+#: What a round asks: the open requests' (store, step_id, query), answered by items and, where
+#: known, scores of their forms.
+Search = Callable[[DataFrame], tuple[DataFrame, DataFrame | None]]
+
+
+def from_table(search_items: DataFrame, scores: DataFrame | None = None) -> Search:
+    """Answers that are a table already: only the asked rows are read on."""
+    formed = stage(search_items if "forms" in search_items.columns else M.with_item_forms(search_items))
+    return lambda asked: (formed.join(asked, ["store", "step_id", "query"], "left_semi"), scores)
+
+
 def answer_requests(
     requests: DataFrame,
-    search_items: DataFrame,
+    search: DataFrame | Search,
     search_steps: DataFrame | None = None,
     cached: DataFrame | None = None,
     cfg: Config = DEFAULTS,
 ) -> DataFrame:
     """One row per request: status, best match, candidates, per-store answers."""
-    per_store = store_answers(requests, search_items, search_steps, cached, cfg)
-    per_request = per_store.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.struct("store_rank", *STORE_FIELDS))).alias("_stores")
-    )
-    # stores are asked in order until one is convincing
-    first_high = "array_position(transform(_stores, s -> s.kind), 'high')"
-    asked = per_request.withColumn(
-        "stores", F.expr(f"slice(_stores, 1, if({first_high} > 0, cast({first_high} as int), size(_stores)))")
-    ).drop("_stores")
-    return page_level(asked, cfg)
+    return page_level(by_request(staged_answers(requests, search, search_steps, cached, cfg)), cfg)
+
+
+def by_request(per_store: DataFrame) -> DataFrame:
+    """The answers of at most five stores as one list, in the order asked."""
+    return per_store.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("store_rank", *STORE_FIELDS))).alias("stores"))
+
+
+def staged_answers(
+    requests: DataFrame,
+    search: DataFrame | Search,
+    search_steps: DataFrame | None = None,
+    cached: DataFrame | None = None,
+    cfg: Config = DEFAULTS,
+) -> DataFrame:
+    """One row per request and store that was asked.  Stores are asked in order, one round each:
+    a request whose answer is convincing leaves (``left_anti``), and a store's second tier starts
+    only for requests whose first tier found nothing usable and met no age gate.  So no row is
+    made, scored or ranked that the stop rules would throw away; the result is that of asking
+    everything and cutting afterwards (``store_answers`` and its slice).
+
+    Every round is a table, so a lost executor repeats one round at most."""
+    if not callable(search):
+        search = from_table(search)
+    open_ = stage(requests)
+    answers: DataFrame | None = None
+    for rank, store in enumerate(cfg.stores):
+        rows = [_round(open_, search, search_steps, cached, cfg, store, 1)]
+        if any(tier == 2 for _, tier in _tiers(store)):
+            head = rows[0].groupBy("request_id").agg(F.max("score").alias("_best"), F.max(F.expr("step_reason = 'age-check'")).alias("_age"))
+            needy = head.where(f"coalesce(_best, 0) < {cfg.possible} and not _age").select("request_id")
+            rows.append(_round(open_.join(needy, "request_id", "left_semi"), search, search_steps, cached, cfg, store, 2))
+        scored = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+        answer = stage(_graded(scored.repartition("request_id"), cfg))
+        answers = answer if answers is None else answers.unionByName(answer)
+        if rank + 1 < len(cfg.stores):
+            open_ = stage(open_.join(answer.where("kind = 'high'").select("request_id"), "request_id", "left_anti"))
+            if open_.isEmpty():
+                break
+    return answers
+
+
+def _tiers(store: str) -> tuple[tuple[str, int], ...]:
+    return next(s.steps for s in stores() if s.id == store)
+
+
+def _round(open_, search: Search, search_steps, cached, cfg: Config, store: str, tier: int) -> DataFrame:
+    """Scored rows of one store's steps of one tier."""
+    only = f"step.store = {quote(store)} and step.tier = {tier}"
+    asked = open_.select(F.explode(F.expr(f"filter({planned_steps('queries', cfg)}, step -> {only})")).alias("s")).select("s.store", "s.step_id", "s.query").distinct()
+    items, scores = search(asked)
+    return stage(_scored(_with_answers(open_, items, search_steps, cached, cfg, only), cfg, scores))
+
+
+_PAYLOAD = ["store_rank", "tier", "step_id", "query", "http_status", "ok", "step_reason", "from_cache", "cache_entry_found", "item"]
+
+
+def _scored(rows: DataFrame, cfg: Config, scores: DataFrame | None = None) -> DataFrame:
+    scored = M.score_rows(rows, ["request_id", "store", "step_ord", "pos"], _PAYLOAD, cfg, scores)
+    return scored.withColumn("score", F.expr("if(item is null, null, score)"))
 
 
 STORE_FIELDS = [
@@ -189,13 +257,12 @@ STORE_FIELDS = [
 def store_answers(requests, search_items, search_steps=None, cached=None, cfg: Config = DEFAULTS) -> DataFrame:
     """One row per request and store, every store asked (no cross-store stop yet)."""
     rows = _with_answers(requests, search_items, search_steps, cached, cfg)
-    keys = ["request_id", "store", "step_ord", "pos"]
-    payload = [
-        "store_rank", "tier", "step_id", "query", "http_status", "ok", "step_reason", "from_cache",
-        "cache_entry_found", "item",
-    ]
-    scored = M.score_rows(rows, keys, payload, cfg).repartition("request_id")
-    ran = _executed(scored.withColumn("score", F.expr("if(item is null, null, score)")), cfg)
+    return _graded(_scored(rows, cfg).repartition("request_id"), cfg)
+
+
+def _graded(scored: DataFrame, cfg: Config) -> DataFrame:
+    """One row per request and store from its scored rows, partitioned by request."""
+    ran = _executed(scored, cfg)
     store = ["request_id", "store"]
     step_head = F.row_number().over(Window.partitionBy(*store, "step_ord").orderBy("pos"))
     fresh = F.row_number().over(Window.partitionBy(*store, "item.product_id").orderBy("step_ord", "pos"))
@@ -327,16 +394,20 @@ def search_links(cfg: Config = DEFAULTS) -> Sql:
 
 def resolve(
     pages: DataFrame,
-    search_items: DataFrame,
+    search: DataFrame | Search,
     search_steps: DataFrame | None = None,
     cached: DataFrame | None = None,
     cfg: Config = DEFAULTS,
 ) -> DataFrame:
     """Page states.  ``pages`` is the output of classify + work titles + queries;
-    ``search_items(store, step_id, query, pos, product...)`` and, for captured
-    responses, ``search_steps`` are the answers of the stores."""
+    ``search`` is the stores' answers ``(store, step_id, query, pos, product...)`` or a function
+    that searches what a round asks; captured responses come with ``search_steps``."""
+    return page_answers(pages, answer_requests(distinct_requests(with_requests(pages)), search, search_steps, cached, cfg), cfg)
+
+
+def page_answers(pages: DataFrame, answers: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """The answers of the requests, back on their pages."""
     keyed = with_requests(pages)
-    answers = answer_requests(distinct_requests(keyed), search_items, search_steps, cached, cfg)
     answered = answers.withColumnRenamed("status", "_status")
     # pages without a search have no request: spread them instead of joining on null
     spread_key = F.expr("coalesce(request_id, concat('none:', page_id))")

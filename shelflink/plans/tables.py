@@ -10,8 +10,9 @@ from ..operators.classify import classify_pages
 from ..operators.clean import effective_queries, work_titles
 from ..operators.extract import extract_pages
 from ..scale import stage
-from ..operators.search import search_catalogue
-from .resolve import resolve, with_requests
+from ..operators.match import with_item_forms
+from ..operators.search import search_similar
+from .resolve import Search, by_request, distinct_requests, from_table, page_answers, page_level, staged_answers, with_requests
 
 # Every page of the generated data is treated as a work page, as the engine's own
 # switch for that allows; guards before it (host, address, root) still apply.
@@ -36,6 +37,7 @@ def shared(build):
     """Build a staged table once per session and input; ``forget()`` drops them."""
 
     def run(spark: SparkSession, sf_dir: str, *args) -> DataFrame:
+        args += (build.__defaults__ or ())[len(args) :]
         key = (spark.sparkContext.applicationId, build.__name__, sf_dir, args)
         if key not in _shared:
             _shared[key] = stage(build(spark, sf_dir, *args))
@@ -85,14 +87,22 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def search_items(pages: DataFrame, items: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Answers of the catalogue to every distinct query of the pages."""
-    asked = with_requests(pages).where("searched").select(F.explode("queries").alias("query"))
-    found = search_catalogue(asked, items, cfg)
-    return found.join(items.drop("store", "step_id", "pos"), "item_id")
+def catalogue_search(requests: DataFrame, items: DataFrame, cfg: Config = DEFAULTS) -> Search:
+    """A catalogue as the stores' search engine: a step returns every item of its section with a
+    title that could be a candidate (score ``min_candidate`` or more), whatever words it shares.
+    Forms are compared once for all stores; the rounds read on what they ask."""
+    formed = stage(with_item_forms(items))
+    found, scores = search_similar(requests.select(F.explode("queries").alias("query")), formed, cfg.min_candidate)
+    return from_table(found.join(formed.drop("pos"), ["item_id", "store", "step_id"]), scores)
+
+
+@shared
+def answered(spark: SparkSession, sf_dir: str, cfg: Config = FORCED) -> DataFrame:
+    """One row per request and store asked."""
+    requests = stage(distinct_requests(with_requests(work_pages(spark, sf_dir, cfg))))
+    return staged_answers(requests, catalogue_search(requests, catalogue(spark, sf_dir), cfg), cfg=cfg)
 
 
 @shared
 def page_states(spark: SparkSession, sf_dir: str, cfg: Config = FORCED) -> DataFrame:
-    pages = work_pages(spark, sf_dir, cfg)
-    return resolve(pages, search_items(pages, catalogue(spark, sf_dir), cfg), cfg=cfg)
+    return page_answers(work_pages(spark, sf_dir, cfg), page_level(by_request(answered(spark, sf_dir, cfg)), cfg), cfg)
