@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,14 @@ def drop_stage(staged: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps left: once driver objects are collected, Spark deletes the
+    shuffle files and broadcasts behind them.  Jobs of many steps call it between steps, so that
+    disk and driver memory hold one step's data and not that of all."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def carry_last(df: DataFrame, key: str, order: list[str], bucket: str, values: dict[str, str]) -> DataFrame:
     """Adds, for each ``name: column``, the last non-null ``column`` of the same ``key``
     strictly before the row (rows ordered by ``order``, whose first column also decides
