@@ -36,6 +36,14 @@ def hash_bucket(hex_digest: Column, buckets: int) -> Column:
     return F.floor(head.cast("double") * buckets / float(1 << 48)).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that no other column of the input can clash."""
     return docs.select(*[F.col(c) for c in columns])

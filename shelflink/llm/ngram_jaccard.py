@@ -39,11 +39,11 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import stage
-from .common import buckets_for
+from ..scale import drop_stage, release, stage
+from .common import buckets_for, unused
 from .components import connected_components
 from .shingles import mix, shingle_set, texts_as_bytes
 
@@ -135,7 +135,7 @@ def combination_prefix(tokens: np.ndarray, band: int, t: Fraction, known: np.nda
 def _index(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
     """First pass.  Rows with ``doc_id`` describe documents; rows with ``part`` hold packed
     (signature, node) entries of one part of the index."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("node", pa.int64()), ("last", pa.int64()), ("bitmap", pa.binary()), ("part", pa.int64()), ("entries", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("node", pa.int64()), ("last", pa.int64()), ("bitmap", pa.binary()), ("part", pa.int64()), ("entries", pa.binary())])
 
     def flush(signatures: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not signatures:
@@ -153,27 +153,27 @@ def _index(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         blobs = [np.stack([a.view(np.int64), b]).tobytes() for a, b in zip(np.split(s, starts[1:]), np.split(v, starts[1:]))]
         none = pa.nulls(len(starts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(starts), pa.string()), none, none, pa.nulls(len(starts), pa.binary()), pa.array(part[starts]), pa.array(blobs, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(starts), pa.string()), none, none, pa.nulls(len(starts), pa.binary()), pa.array(part[starts]), pa.array(blobs, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, nodes, held, seen = [], [], 0, set()
         for batch in batches:
             rows = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1))):
+            for doc_id, text_hash, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_as_bytes(batch.column(1))):
                 tokens = shingle_set(raw, words)
                 if not len(tokens):
-                    rows.append((doc_id, 0, None, None, None, None))
+                    rows.append((doc_id, text_hash, 0, None, None, None, None))
                     continue
                 key = _key(tokens)
                 node, prefix = _node(key), tokens[: _missing(len(tokens), t) + 1]
-                rows.append((doc_id, len(tokens), key, node, int(prefix[-1:].view(np.int64)[0]), _bitmap(tokens)))
+                rows.append((doc_id, text_hash, len(tokens), key, node, int(prefix[-1:].view(np.int64)[0]), _bitmap(tokens)))
                 if key not in seen:
                     seen.add(key)
                     for band in _bands(len(tokens), t):
                         signatures.append(_signature(prefix, band))
                         nodes.append(np.full(len(prefix), node, dtype=np.int64))
                         held += len(prefix)
-            columns = list(zip(*rows)) if rows else [()] * 6
+            columns = list(zip(*rows)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, schema)] + [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())], schema=schema
             )
@@ -182,7 +182,7 @@ def _index(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
                 signatures, nodes, held = [], [], 0
         yield from flush(signatures, nodes)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, key string, node bigint, last bigint, bitmap binary, part bigint, entries binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, key string, node bigint, last bigint, bitmap binary, part bigint, entries binary")
 
 
 def _lists(index: DataFrame) -> DataFrame:
@@ -380,16 +380,18 @@ def _apart(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_key): the components of documents whose shingle sets
-    have a Jaccard similarity of ``threshold`` or more."""
+    """(doc_id, n_shingles, component_id, set_key, text_hash, root): the components of documents
+    whose shingle sets have a Jaccard similarity of ``threshold`` or more; ``root`` names a
+    component, null where a document has no words."""
     t = Fraction(threshold)
     if not Fraction(1, 2) <= t <= 1:
         raise ValueError("the threshold must lie between 1/2 and 1")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = stage(_index(docs, words, t, buckets_for(docs.count(), PART_NODES)))
-    found = index.where("part is null").select("doc_id", "n", "key", "node", "last", "bitmap")
+    found = stage(index.where("part is null").select("doc_id", "text_hash", "n", "key", "node", "last", "bitmap"))
     nodes = stage(found.where("n > 0").groupBy("key", "node", "n", "last").agg(F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"), F.lit(0).cast("long").alias("often")).withColumn("number", F.monotonically_increasing_id()))
     lists = stage(_lists(index))
+    drop_stage(index)
     pairs = lists.where("b is not null").groupBy("a", "b").agg(F.sum("w").alias("w"))
     named = lists.where("b is null")
     often = stage(named.orderBy(F.desc("w"), "a").limit(MOST_FREQUENT).select("a"))
@@ -412,32 +414,53 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
         stars = postings.where("node <> a").select("a", F.col("node").alias("b"), F.lit(0).cast("long").alias("w"))
         candidates = pairs.unionByName(stars.distinct()).groupBy("a", "b").agg(F.max("w").alias("w"))
     candidates = stage(_possible(candidates, nodes, t))
+    release(docs.sparkSession)
 
     # round 1: every node with the partner it shares most with
     best = candidates.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b")
     links = stage(_verify(docs, best, nodes, words, t))
     roots = connected_components(links)
+    release(docs.sparkSession)
     # round 2: candidates still apart
     rest = stage(_apart(candidates, nodes, roots))
     if not rest.isEmpty():
         links = links.unionByName(stage(_verify(docs, rest, nodes, words, t)))
         roots = connected_components(links)
+    release(docs.sparkSession)
     # round 3: lists of the second pass that still span components
     if postings is not None:
         across = stage(_across(postings, nodes, roots, t).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
         if not across.isEmpty():
             links = links.unionByName(stage(_verify(docs, across, nodes, words, t)))
             roots = connected_components(links)
+    release(docs.sparkSession)
     member = nodes.join(roots, nodes["key"] == roots["a"], "left").select("key", "doc_id", F.coalesce("b", "key").alias("root"))
     named = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = stage(member.join(named, "root").select("key", "component_id"))
-    named = found.where("n > 0").join(classes, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("set_key"))
-    empty = found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("key").alias("set_key"))
+    classes = stage(member.join(named, "root").select("key", "component_id", "root"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("set_key"), "text_hash", "root"]
+    named = found.where("n > 0").join(classes, "key").select(*columns)
+    empty = found.where("n = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("string")}).select(*columns)
     return named.unionByName(empty)
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The documents of which one of each component stays: the one with the smallest doc_id."""
-    columns = docs.columns
-    stay = link_components(docs, words, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.alias("d").join(stay, F.col("d.doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*columns)
+    """The documents of which one of each component stays: the one with the smallest doc_id; of
+    several with that id, or without ids, the one with the least shingle set and text hash.
+    Documents without words are no copies of anything and all stay."""
+    own, row, copy = (unused(docs, name) for name in ("own_hash", "kept_row", "copy_number"))
+    linked = stage(link_components(docs, words, threshold))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set_key", "text_hash")
+    first = linked.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash")
+    stay = stage(
+        linked.where("n_shingles > 0").join(first.withColumnsRenamed({"doc_id": "i", "text_hash": "h"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
+        .groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+        .unionByName(linked.where("n_shingles = 0").select("doc_id", "text_hash", F.lit(0).cast("long").alias("rows")).distinct())
+        .select(F.struct("doc_id", "text_hash", "rows").alias(row))
+    )
+    drop_stage(linked)
+    keyed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay[row]["doc_id"]) & (keyed[own] == stay[row]["text_hash"]))
+    if not stay.where(F.col(row)["rows"] > 1).isEmpty():
+        once = Window.partitionBy(own, "doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+        joined = joined.withColumn(copy, F.when(F.col(row)["rows"] > 1, F.row_number().over(once)).otherwise(1)).where(F.col(copy) == 1).drop(copy)
+    return joined.drop(own, row)

@@ -205,7 +205,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_ngram_jaccard")
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.link_components(table(spark, sf_dir, "documents"), words=4, threshold=Fraction(85, 100)).drop("set_key")
+    return ngram_jaccard.link_components(table(spark, sf_dir, "documents"), words=4, threshold=Fraction(85, 100)).drop("set_key", "text_hash", "root")
 
 
 @query("op2_sentencepiece")

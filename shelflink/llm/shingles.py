@@ -1,7 +1,7 @@
 """Word shingles of whole texts, hashed for a batch at once with NumPy.
 
 All texts of an Arrow batch are looked at as one run of UTF-8 bytes: blanks are found with one
-comparison, word hashes come from one running sum, shingle hashes from the hashes of
+comparison, word hashes come from lanes of eight bytes, shingle hashes from the hashes of
 neighbouring words.  Nothing is done per word in Python.
 """
 
@@ -13,16 +13,13 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-#: One random 64-bit value a byte, from a fixed seed; capital ASCII letters share their small letter's.
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BYTE[65:91] = _BYTE[97:123]
+#: Capital ASCII letters as their small letters.
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed in one go, so that working arrays stay small.
 PIECE = 1 << 18
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,28 +29,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[_U(1)], np.full(max(n - 1, 0), base, dtype=np.uint64)]), dtype=np.uint64)[:n]
-
-
-def _up_down(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; made once a task, so that they never travel."""
-    if n > PIECE:
-        return _powers(_BASE, n), _powers(_INVERSE, n)
-    if PIECE not in _tables:
-        _tables[PIECE] = _powers(_BASE, PIECE), _powers(_INVERSE, PIECE)
-    return _tables[PIECE]
-
-
 def _hash_piece(raw: np.ndarray) -> np.ndarray:
-    """Word hashes of a piece that no word crosses."""
+    """Word hashes of a piece that no word crosses.  A word is read in lanes of eight bytes, each
+    mixed with its place, so words of up to eight bytes never share a hash with one of their length."""
     blank = _BLANK[raw]
-    up, down = _up_down(len(raw))
-    running = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(np.where(blank, _U(0), _BYTE[raw]) * up[: len(raw)], out=running[1:])
     edge = np.diff(blank.view(np.int8), prepend=1, append=1)
     first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    return mix((running[last] - running[first]) * down[first])
+    if not len(first):
+        return np.zeros(0, dtype=np.uint64)
+    lanes = (last - first + 7) >> 3
+    start = np.cumsum(lanes) - lanes
+    place = np.arange(start[-1] + lanes[-1]) - np.repeat(start, lanes)
+    at = np.repeat(first, lanes) + 8 * place
+    unused = 8 * (8 - np.minimum(np.repeat(last, lanes) - at, 8))
+    padded = np.concatenate([_SMALL[raw], np.zeros(8, dtype=np.uint8)])
+    # the eight bytes from every place on, of which only the lanes are read
+    lane = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))[at]
+    lane &= ~_U(0) >> unused.astype(np.uint64)
+    mixed = mix(lane ^ mix(place.astype(np.uint64) + _U(1)))
+    return mix(np.add.reduceat(mixed, start) + (last - first).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 def word_hashes(raw: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import random
 import re
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from shelflink.llm import ngram_jaccard as J
@@ -104,3 +105,33 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     whole = word_hashes(raw)
     monkeypatch.setattr(S, "PIECE", 64)
     assert (whole == word_hashes(raw)).all() and len(shingle_set(raw, 5)) > 1
+
+
+def test_words_that_a_power_sum_cannot_tell_apart():
+    """Thue-Morse words and their complements: every power of a base modulo 2^64 sums alike."""
+    word, other = "a", "b"
+    for _ in range(12):
+        word, other = word + other, other + word
+        hashes = word_hashes(np.frombuffer(f"{word} {other} {word}".encode(), dtype=np.uint8))
+        assert hashes[0] == hashes[2] != hashes[1]
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abé漢Z") for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    once = {w: int(word_hashes(np.frombuffer(w.encode(), dtype=np.uint8))[0]) for w in words}
+    assert len(set(once.values())) == len({re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words})
+    text = "\t".join(words * 3)
+    assert word_hashes(np.frombuffer(text.encode(), dtype=np.uint8)).tolist() == [once[w] for w in words * 3]
+
+
+def test_one_of_each_group_with_null_and_repeated_ids(spark):
+    near = [" ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(59)) + " other"]
+    alone = "quite another text of several words that stands alone"
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in J.keep_one_each(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, _id int, own_hash string")).collect()), key=repr)
+    assert kept([(1, near[0]), (None, near[1]), (None, alone)]) == sorted([(1, near[0]), (None, alone)], key=repr)
+    found = kept([(1, near[0]), (5, near[1]), (5, alone)])
+    assert found == [(1, near[0]), (5, alone)]
+    assert len(kept([(7, near[0]), (7, near[1]), (7, near[0])])) == 1
+    assert len(kept([(None, near[0]), (None, near[1]), (None, near[0])])) == 1
+    assert kept([(3, ""), (3, ""), (None, None), (4, alone), (4, alone)]) == sorted([(3, ""), (3, ""), (None, None), (4, alone)], key=repr)
