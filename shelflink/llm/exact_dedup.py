@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import stage
-from .common import buckets_for, text_of
+from .common import buckets_for, text_of, unused
 from .fuse_filter import build, contains
 
 #: Keys of one filter on average; the number of buckets follows the table.
@@ -160,15 +160,12 @@ def _rows(found: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
 
 def keep_documents(docs: DataFrame, digest=sha256) -> DataFrame:
     """The documents that stay, all columns as they came.  Of rows equal in doc_id and text one stays."""
-    columns = docs.columns
-    kept = stage(
-        deduplicate(docs, digest).groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
-        .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "rows")
-    )
-    keyed = docs.withColumn("_own", digest(normalised(text_of()))).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k._id")) & (F.col("d._own") == F.col("k._digest"))
-    joined = keyed.join(kept.alias("k"), same).select("d.*")
-    if kept.where("rows > 1").isEmpty():
-        return joined.select(*columns)
-    once = Window.partitionBy("_own", "doc_id").orderBy(*columns)
-    return joined.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*columns)
+    own, row, copy = (unused(docs, name) for name in ("own_digest", "kept_row", "copy_number"))
+    found = deduplicate(docs, digest).groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
+    kept = stage(found.select(F.struct("doc_id", "digest", "rows").alias(row)))
+    keyed = docs.withColumn(own, digest(normalised(text_of())))
+    joined = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept[row]["doc_id"]) & (keyed[own] == kept[row]["digest"])).drop(row)
+    if not kept.where(F.col(row)["rows"] > 1).isEmpty():
+        once = Window.partitionBy(own, "doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+        joined = joined.withColumn(copy, F.row_number().over(once)).where(F.col(copy) == 1).drop(copy)
+    return joined.drop(own)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import stage
-from .common import buckets_for, count_words, hash_bucket, text_of
+from .common import buckets_for, count_words, hash_bucket, text_of, unused
 
 SLICE_ROWS = 4096
 
@@ -126,11 +126,9 @@ def mix(docs: DataFrame, share: float = 1.0, repeats: int = 3, weigh=weigh_by_ra
 def mixed_documents(docs: DataFrame, share: float = 1.0, repeats: int = 3, weigh=weigh_by_rank) -> DataFrame:
     """The mixed corpus itself: documents repeated as often as they are taken, sorted over the
     whole corpus by virtual finish time."""
-    columns = docs.columns
-    plan = mix(docs, share, repeats, weigh).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.explode(F.slice("finish", F.lit(1), F.col("copies"))).alias("_finish"),
-    )
-    sized = docs.withColumn("_size", count_words(text_of())).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("p._id")) & F.col("d.source").eqNullSafe(F.col("p._source")) & (F.col("d._size") == F.col("p._size"))
-    return sized.join(plan.alias("p"), same).orderBy("_finish", "_id").select(*[F.col(f"d.`{c}`") for c in columns])
+    own, place = unused(docs, "own_size"), unused(docs, "place")
+    taken = mix(docs, share, repeats, weigh).where("copies > 0").withColumn("finish", F.explode(F.slice("finish", F.lit(1), F.col("copies"))))
+    plan = taken.select(F.struct("doc_id", "source", "size", "finish").alias(place))
+    sized = docs.withColumn(own, count_words(text_of()))
+    same = sized["doc_id"].eqNullSafe(plan[place]["doc_id"]) & sized["source"].eqNullSafe(plan[place]["source"]) & (sized[own] == plan[place]["size"])
+    return sized.join(plan, same).orderBy(F.col(place)["finish"], F.col(place)["doc_id"]).drop(own, place)

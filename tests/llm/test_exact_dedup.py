@@ -64,3 +64,10 @@ def test_fuse_filter_never_misses(n):
     data = build(np.concatenate([keys, keys]))
     assert contains(data, keys).all()
     assert contains(data, others).mean() < 0.01 and len(data) < 64 + 2 * n
+
+
+def test_kept_documents_keep_columns_of_any_name(spark):
+    rows = [(1, "a b", "x", 3), (2, "a  b", "y", 4), (2, "a  b", "y", 4), (3, "c", "z", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _own string, own_digest int")
+    out = D.keep_documents(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "a b", "x", 3), (3, "c", "z", 5)]

@@ -64,3 +64,10 @@ def test_small_and_empty_tables(spark):
     assert [(r.target, r.taken) for r in blank] == [(0.0, 0)] * 2
     twice = M.mix(spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, "c d", "x")], kind)).collect()
     assert sorted((r.doc_id or 0, r.rows, r.taken) for r in twice) == [(0, 1, 2), (1, 2, 2)]
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(k, f"word {k} and more", "s", 8, "mine", 0.5) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _size int, place string, _id double")
+    out = M.mixed_documents(docs)
+    assert out.columns == docs.columns and {r._size for r in out.collect()} == {8} and {r.place for r in out.collect()} == {"mine"}
