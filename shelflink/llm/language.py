@@ -14,20 +14,22 @@ gives an empty result; without any learning row the model knows no language and
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
 
 DIMENSIONS = 1 << 15
-_LETTER = re.compile(r"[^\W\d_]")
+#: Slices of each language from which its sample is merged.
+SAMPLE_SLICES = 64
+_LETTER = regex.compile(r"\p{L}")
 _U = np.uint64
 
 
@@ -137,9 +139,12 @@ def train(docs: DataFrame, per_language: int = 1500) -> LanguageModel:
     df, n = document_frequencies(learn)
     idf = np.log((n + 1.0) / (df + 1.0)) + 1.0
     order = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    # the window limits each language before its shuffle; ids and langs only
-    ids = learn.select("doc_id", "lang").withColumn("place", first).where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
+    # ids and langs only; slices of a language are limited first, so a frequent one is no single task
+    slices = learn.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_SLICES)).alias("slice"))
+    for key in (["lang", "slice"], ["lang"]):
+        first = F.row_number().over(Window.partitionBy(*key).orderBy(order, "doc_id"))
+        slices = slices.withColumn("place", first).where(F.col("place") <= per_language)
+    ids = slices.select("doc_id", "lang").distinct()
     sample = learn.join(F.broadcast(ids), ["doc_id", "lang"])
 
     @F.pandas_udf("struct<at: binary, x: binary>")  # packed, so that the sample is small on the driver

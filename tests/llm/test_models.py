@@ -86,3 +86,13 @@ def test_quality_without_a_positive_scores_the_prior(spark, corpus):
         model = Q.train_or_prior(docs, known)
         assert all(r.score == pytest.approx(model.prior) for r in Q.score_documents(docs, model).collect())
     assert Q.score_documents(docs.limit(0), Q.train_or_prior(docs.limit(0), labels.limit(0))).collect() == []
+
+
+def test_only_letters_of_category_l_have_a_language():
+    import numpy as np
+
+    from shelflink.llm.language import DIMENSIONS, LanguageModel
+
+    model = LanguageModel(["de", "en"], np.ones(DIMENSIONS), np.zeros((2, DIMENSIONS)), np.zeros(2), 1.0)
+    assert [model.predict(t)[0] for t in ("½", "² ①", "123 _", "", None, "ⅷ")] == ["und"] * 6
+    assert "und" not in [model.predict(t)[0] for t in ("a", "漢", "ª")]
