@@ -32,17 +32,47 @@ GENERIC = ("owned", r"[A-Za-z0-9+/_-]{20,}", 0, 20)
 SPAN = "struct<start:int,end:int,rank:int,kind:string,value:string>"
 
 
+#: Matches whose places are summed up together; a text of n matches costs n times this at most.
+RUN = 256
+#: Code points of a text in which generic and base spans are compared with each other.
+STRETCH = 4096
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _sums(lengths: str) -> str:
+    """Running sums of an array of lengths: runs first, so that appending stays short."""
+    add = "(acc, x) -> named_struct('pos', acc.pos + x, 'out', concat(acc.out, array(acc.pos + x)))"
+    runs = f"transform(sequence(0, (size({lengths}) - 1) div {RUN}), k -> slice({lengths}, k * {RUN} + 1, {RUN}))"
+    totals = "transform(runs, r -> aggregate(r, 0, (a, x) -> a + x))"
+    ends = f"aggregate({totals}, named_struct('pos', 0, 'out', cast(array() as array<int>)), {add}, acc -> acc.out)"
+    inside = f"aggregate(r, named_struct('pos', if(k = 0, 0, ends[k - 1]), 'out', cast(array() as array<int>)), {add}, acc -> acc.out)"
+    return _let(runs, "runs", _let(ends, "ends", f"flatten(transform(runs, (r, k) -> {inside}))"))
+
+
 def _found(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
     """SQL for the spans of one kind in ``body``, in text order."""
     matches, values = (f"regexp_extract_all(body, r'{pattern}', {g})" for g in (0, group))
-    step = (
-        "(acc, i) -> named_struct('pos', acc.pos + length(p[i]) + length(m[i]), 'out', concat(acc.out, array(named_struct("
-        f"'start', acc.pos + length(p[i]), 'end', acc.pos + length(p[i]) + length(m[i]), 'rank', {rank}, 'kind', '{kind}', 'value', v[i]))))"
+    lengths = _let(f"split(body, r'{pattern}', -1)", "p", "transform(m, (x, i) -> length(p[i]) + length(x))")
+    spans = (
+        f"filter(transform(m, (x, i) -> named_struct('start', e[i] - length(x), 'end', e[i], 'rank', {rank}, 'kind', '{kind}', 'value', v[i])),"
+        f" s -> length(s.value) >= {least})"
     )
-    start = f"named_struct('pos', 0, 'out', cast(array() as array<{SPAN}>))"
-    fold = f"aggregate(sequence(0, size(m) - 1), {start}, {step}, acc -> filter(acc.out, x -> length(x.value) >= {least}))"
-    pieces = f"element_at(transform(array(split(body, r'{pattern}', -1)), p -> element_at(transform(array({values}), v -> {fold}), 1)), 1)"
-    return f"element_at(transform(array({matches}), m -> if(size(m) = 0, cast(array() as array<{SPAN}>), {pieces})), 1)"
+    placed = _let(lengths, "n", _let(_sums("n"), "e", _let(values, "v", spans)))
+    return _let(matches, "m", f"if(size(m) = 0, cast(array() as array<{SPAN}>), {placed})")
+
+
+def _untouched(generic: str, base: str) -> str:
+    """The generic spans that overlap no base span, compared stretch by stretch of the text."""
+    own = f"filter({generic}, x -> x.start div {STRETCH} = k)"
+    near = f"filter({base}, b -> b.end > k * {STRETCH} and b.start < array_max(transform(own, x -> x.end)))"
+    kept = _let(near, "near", "filter(own, x -> not exists(near, b -> b.start < x.end and x.start < b.end))")
+    stretches = f"sequence(0, array_max(transform({generic}, x -> x.start)) div {STRETCH})"
+    every = f"flatten(transform({stretches}, k -> {_let(own, 'own', f'if(size(own) = 0, own, {kept})')}))"
+    return f"if(size({generic}) = 0 or size({base}) = 0, {generic}, {every})"
 
 
 def find_spans(docs: DataFrame, owner: str = "source", repository: Column | None = None) -> DataFrame:
@@ -55,7 +85,8 @@ def find_spans(docs: DataFrame, owner: str = "source", repository: Column | None
         docs.select("doc_id", F.col(owner).cast("string").alias("owner"), repo.alias("repo"), text_of().alias("body"))
         .withColumn("base", F.expr(f"array_sort(concat({base}))"))
         .withColumn("generic", F.expr(_found(GENERIC[0], len(KINDS), *GENERIC[1:])))
-        .withColumn("extra", F.expr(f"filter(generic, x -> {mixed} and not exists(base, b -> b.start < x.end and x.start < b.end))"))
+        .withColumn("generic", F.expr(f"filter(generic, x -> {mixed})"))
+        .withColumn("extra", F.expr(_untouched("generic", "base")))
         .drop("body", "generic")
     )
 

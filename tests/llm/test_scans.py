@@ -147,3 +147,18 @@ def test_license_templates_name_one_license_each():
     for name, texts in C.TEMPLATES.items():
         for text in texts:
             assert seen.setdefault(frozenset(C.pairs(text)), name) == name
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"token=abcdef{k} Copied0Copied1Copied2n{k:06d}x " + (HEX if k % 9 == 0 else "") for k in range(9000))
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, "token=abcdefg", "en", "s")], "doc_id bigint, text string, lang string, source string")
+    start = time.time()
+    (got,) = [r for r in S.digest(S.scan_secrets(docs)).collect() if r.doc_id == 1]
+    assert time.time() - start < 40
+    want = base_spans(text)
+    assert got.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, _, k in want).encode()).hexdigest()
+    assert (got.n_assign, got.n_hex) == (9000, 1000)
+    owned = [m for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text) if m[0].startswith("Copied0")]
+    assert [x for x in got.spans.split(",") if x.startswith("owned")] == [f"owned:{m.start()}:{m.end()}" for m in owned]
