@@ -51,7 +51,8 @@ IMPLIED_END = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in
 ENDS_P = BLOCKS - frozenset("body html caption tbody thead tfoot tr option optgroup legend".split())
 P_SCOPE = frozenset("td th table button caption html body li".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?/]")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SHOWN = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
@@ -66,36 +67,72 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes or {}, []
 
 
+class Tags:
+    """The tags of a page in order.  Every search goes forward from where the last one ended: where
+    no > follows, no tag is looked for; after a quote that never closes, quotes protect no more."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted = page, page.rfind(">"), True
+
+    def _end(self, at: int) -> int:
+        place = at
+        while self.quoted:
+            stop = _STOP.search(self.page, place)
+            if stop and stop[0] == ">":
+                return stop.end()
+            close = self.page.find(stop[0], stop.end()) if stop else -1
+            if close < 0:
+                self.quoted = False
+            place = close + 1
+        return self.page.find(">", at) + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" if closing, name, attributes) of the next tag; comments and
+        declarations have no name."""
+        while (found := _OPEN.search(self.page, at)) is not None:
+            if found[0] == "<!--":
+                close = self.page.find("-->", found.end())
+                return found.start(), close + 3 if close >= 0 else len(self.page), "", "", ""
+            if found.end() <= self.last:
+                if not found[2]:
+                    return found.start(), self.page.find(">", found.end()) + 1, "", "", ""
+                end = self._end(found.end())
+                return found.start(), end, found[1], found[2], self.page[found.end() : end - 1]
+            at = found.end()
+        return None
+
+
 def build_tree(page: str) -> Node:
     """The page as nodes and strings, with implied tags supplied."""
     root = Node("#root")
-    stack, at, open_ = [root], 0, Counter()
+    stack, at, open_, tags = [root], 0, Counter(), Tags(page)
 
     def cut(depth: int) -> None:
         for node in stack[depth:]:
             open_[node.tag] -= 1
         del stack[depth:]
 
-    def close(tags: frozenset[str], stop: frozenset[str]) -> None:
-        """End all open ``tags`` down to the nearest of ``stop``; nothing is searched when none is open."""
+    def close(ended: frozenset[str], stop: frozenset[str]) -> None:
+        """End all open ``ended`` tags down to the nearest of ``stop``; nothing is searched when none is open."""
         depth = len(stack) - 1
-        while depth > 0 and any(open_[t] for t in tags) and stack[depth].tag not in stop:
-            if stack[depth].tag in tags:
+        while depth > 0 and any(open_[t] for t in ended) and stack[depth].tag not in stop:
+            if stack[depth].tag in ended:
                 cut(depth)
             depth -= 1
 
     while at < len(page):
-        token = _TOKEN.search(page, at)
-        if token is None:
+        found = tags.next(at)
+        if found is None:
             stack[-1].children.append(entities.unescape(page[at:]))
             break
-        if token.start() > at:
-            stack[-1].children.append(entities.unescape(page[at : token.start()]))
-        at = token.end()
-        if not token[2]:
+        start, end, closing, name, rest = found
+        if start > at:
+            stack[-1].children.append(entities.unescape(page[at:start]))
+        at = end
+        if not name:
             continue
-        tag = token[2].lower()
-        if token[1]:
+        tag = name.lower()
+        if closing:
             if tag == "br":  # browsers read a stray </br> as <br>
                 stack[-1].children.append(Node("br"))
             elif tag == "p" and not open_["p"]:
@@ -112,7 +149,7 @@ def build_tree(page: str) -> Node:
             close(frozenset(("p",)), P_SCOPE)
         if tag in IMPLIED_END:
             close(*IMPLIED_END[tag])
-        attributes = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in _ATTRIBUTE.finditer(token[3])} if token[3].strip(" /") else {}
+        attributes = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /") else {}
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -306,11 +343,21 @@ def _spread(rows: list[list[tuple[Node, int]]], groups: set[int]) -> list[list[t
     return out
 
 
-def _table(page: Page, table: Node, selectors: dict) -> None:
+def _run(task: Iterator) -> None:
+    """A walk and the walks that it yields, on a stack of their own."""
+    tasks = [task]
+    while tasks:
+        try:
+            tasks.append(next(tasks[-1]))
+        except StopIteration:
+            tasks.pop()
+
+
+def _table(page: Page, table: Node, selectors: dict) -> Iterator:
     """Columns as wide as their widest line; a cell of several lines takes several lines."""
     captions, rows = _cells(table, selectors)
     for caption in captions:
-        _walk(page, caption, selectors)
+        yield _walk(page, caption, selectors)
         page.end()
     drawn = []
     for row in rows:
@@ -318,7 +365,7 @@ def _table(page: Page, table: Node, selectors: dict) -> None:
         for cell, span in row:
             inner = Page()
             if cell is not None:
-                _walk(inner, cell, selectors)
+                yield _walk(inner, cell, selectors)
             cells += [inner.result().split("\n")] + [[""]] * (span - 1)
         drawn.append(cells)
     widths = [max((len(x) for r in drawn if k < len(r) for x in r[k]), default=0) for k in range(max(map(len, drawn), default=0))]
@@ -330,8 +377,8 @@ def _table(page: Page, table: Node, selectors: dict) -> None:
                 page.end()
 
 
-def _walk(page: Page, top: Node, selectors: dict) -> None:
-    """Depth-first without recursion (but for cells, which are pages of their own)."""
+def _walk(page: Page, top: Node, selectors: dict) -> Iterator:
+    """Depth-first; tables and their cells, which are pages of their own, are yielded as walks."""
     stack: list = [("open", top, False, "")]
     while stack:
         what, node, pre, marker = stack.pop()
@@ -356,7 +403,7 @@ def _walk(page: Page, top: Node, selectors: dict) -> None:
             page.text(" " + entities.unescape(node.attributes.get("value", "")) + " ", False)
         elif tag == "table":
             page.end(spaced=True)
-            _table(page, node, selectors)
+            yield _table(page, node, selectors)
             page.end(spaced=True)
         elif tag not in VOID:
             block = tag in BLOCKS
@@ -387,7 +434,7 @@ def render(page: str | None) -> str:
         return ""
     root = build_tree(page)
     out = Page()
-    _walk(out, root, hidden_selectors(root))
+    _run(_walk(out, root, hidden_selectors(root)))
     return out.result()
 
 

@@ -53,3 +53,16 @@ def test_every_visible_word_is_kept_in_order(spark):
 ])
 def test_conditional_rules_drawings_and_rowspan(page, want):
     assert H.render(page) == want
+
+
+def test_deep_tables_and_tags_that_never_end():
+    import time
+
+    deep = "<table><tr><td>" * 3000 + "inside" + "</td></tr></table>" * 3000
+    assert "inside" in H.render(deep)
+    for page in ("<a " * 100_000, "<a href=\"" * 60_000, "<a \">\" " * 40_000 + "\"", "<" * 200_000, "<!x" * 60_000, "<a ''" * 60_000):
+        start = time.time()
+        H.render("<p>first</p>" + page)
+        assert time.time() - start < 6
+    assert H.render("<p title=\"a > b\">shown</p><b title='>'>too</b>") == H.render("<p>shown</p><b>too</b>")
+    assert H.render("one <b>two</b> <i three") == "one two <i three"
