@@ -18,12 +18,10 @@ empty results; without a positive to learn from every document scores the share
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from shelflink.llm import exact_dedup, mixing, ngram_jaccard, pieces, quality_pu
-from shelflink.scale import checkpoint_dir
+from shelflink.scale import drop_stage, release, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +53,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{checkpoint_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir))
+        if before is not None:
+            drop_stage(before)
+        before = docs
+        release(spark)
     return docs
