@@ -388,8 +388,9 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
         raise ValueError("the threshold must lie between 1/2 and 1")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = stage(_index(docs, words, t, buckets_for(docs.count(), PART_NODES)))
-    found = stage(index.where("part is null").select("doc_id", "text_hash", "n", "key", "node", "last", "bitmap"))
-    nodes = stage(found.where("n > 0").groupBy("key", "node", "n", "last").agg(F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"), F.lit(0).cast("long").alias("often")).withColumn("number", F.monotonically_increasing_id()))
+    rows = index.where("part is null")
+    found = stage(rows.select("doc_id", "text_hash", "n", "key"))
+    nodes = stage(rows.where("n > 0").groupBy("key", "node", "n", "last").agg(F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"), F.lit(0).cast("long").alias("often")).withColumn("number", F.monotonically_increasing_id()))
     lists = stage(_lists(index))
     drop_stage(index)
     pairs = lists.where("b is not null").groupBy("a", "b").agg(F.sum("w").alias("w"))
@@ -400,7 +401,8 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     candidates, postings = pairs, None
     if len(known):
         extended = stage(_extended(docs, words, t, known))
-        nodes = stage(nodes.drop("often").join(extended.groupBy("node").agg(F.max("often").alias("often")), "node", "left").fillna(0, ["often"]))
+        plain, nodes = nodes, stage(nodes.drop("often").join(extended.groupBy("node").agg(F.max("often").alias("often")), "node", "left").fillna(0, ["often"]))
+        drop_stage(plain)
         postings = extended.select("node", F.explode("signatures").alias("signature"))
         if named.count() > MOST_FREQUENT:
             # shingles beyond the bound stay indexed alone, as lists of any length; how many of
@@ -410,10 +412,14 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
             nodes = nodes.withColumn("often", F.col("n"))
         # only lists of two nodes or more matter from here on; most signatures have one
         centres = postings.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("signature", "a")
-        postings = stage(postings.join(stage(centres), "signature"))
+        centres = stage(centres)
+        postings = stage(postings.join(centres, "signature"))
+        drop_stage(extended)
+        drop_stage(centres)
         stars = postings.where("node <> a").select("a", F.col("node").alias("b"), F.lit(0).cast("long").alias("w"))
         candidates = pairs.unionByName(stars.distinct()).groupBy("a", "b").agg(F.max("w").alias("w"))
     candidates = stage(_possible(candidates, nodes, t))
+    drop_stage(lists)
     release(docs.sparkSession)
 
     # round 1: every node with the partner it shares most with
