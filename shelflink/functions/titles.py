@@ -71,7 +71,7 @@ BOUNDARY_TOKENS = [
 STRONG_NOISE = [
     (r"免费|免費|無料", False),
     (r"在线阅读|在线阅读|在线观看|在线漫画|在線|在线", False),
-    (r"(?:漫画|漫畫|マンガ|コミック)(?:网|網|屋|吧|站|網站|网站|之家|空间|世界|大全|馆|館|库|庫|图|圖)", False),
+    (r"(?:漫画|漫畫|マンガ|コミック)(?:网|網|屋|吧|站|網站|网站|之家|空间|世界|大全|馆|館|库|庫|圖|图)", False),
     (r"汉化|漢化|生肉|熟肉", False),
     (r"试看|試し読み|立ち読み|ネタバレ", False),
     (r"最新章节|最新話|全巻|全卷", False),
