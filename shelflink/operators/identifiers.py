@@ -67,36 +67,26 @@ def position(content: str, regex: str, index: str) -> str:
     return f"1 + aggregate({before}, 0, (n, g) -> n + length(g))"
 
 
-SMALL_DENY_LIST = 10_000
-
-
 def denied(lines: DataFrame, deny: DataFrame, key: str) -> DataFrame:
     """Lines that contain a deny entry, ignoring case, with the entry's first column.
 
     A line contains an entry only if the entry's first ``g`` characters (``g`` = 8, or
-    its length) start somewhere in the line.  Up to ``SMALL_DENY_LIST`` such starts are
-    tested as a hash set inside the row, so only hits are joined; a longer list is
-    joined on every position of every line instead.  Both ways are exact."""
+    its length) start somewhere in the line, so every place of a line is a key of an equality
+    join with those starts.  The plan is the same for a list of any size: Spark sends a small one
+    to every task and filters a large join by its runtime Bloom filter.  Only the lengths of the
+    starts (1 to 8) are collected."""
     entries = (
         deny.select("entry", F.lower("entry").alias("_e"))
         .where("length(_e) > 0")
         .distinct()
         .withColumn("_gram", F.expr("left(_e, 8)"))
     )
-    sizes = [r.g for r in entries.select(F.length("_gram").alias("g")).distinct().collect()]  # 1 to 8
-    starts = [r._gram for r in entries.select("_gram").distinct().limit(SMALL_DENY_LIST + 1).collect()]
-    if not starts:
-        return lines.limit(0).selectExpr(key, "line", "0 as column", "'denylisted' as kind", "content as match")
-    small = len(starts) <= SMALL_DENY_LIST
-    few = small and entries.limit(SMALL_DENY_LIST + 1).count() <= SMALL_DENY_LIST
+    sizes = sorted(r.g for r in entries.select(F.length("_gram").alias("g")).distinct().collect())
     # a look-ahead group lists all overlapping windows in one linear pass
-    windows = "concat(" + ", ".join(grab_all("_low", f"(?s)(?=(.{{{g}}}))") for g in sorted(sizes)) + ")"
-    if small:
-        windows = f"filter({windows}, w -> w in ({', '.join(quote(g) for g in starts)}))"
-    grams = f"array_distinct({windows})"
-    met = lines.withColumn("_low", F.lower("content")).withColumn("_gram", F.explode(F.expr(grams)))
+    windows = ", ".join(["cast(array() as array<string>)", *(grab_all("_low", f"(?s)(?=(.{{{g}}}))") for g in sizes)])
+    met = lines.withColumn("_low", F.lower("content")).withColumn("_gram", F.explode(F.expr(f"array_distinct(concat({windows}))")))
     return (
-        met.join(F.broadcast(entries) if few else entries, "_gram")
+        met.join(entries, "_gram")
         .where("contains(_low, _e)")
         .select(key, "line", F.expr("locate(_e, _low)").alias("column"), F.lit("denylisted").alias("kind"), F.col("entry").alias("match"))
     )

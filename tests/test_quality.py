@@ -251,11 +251,12 @@ def test_scan(spark):
     assert got == [(1, 4, "product-id", "RJ12345678"), (2, 1, "gallery-id", "/g/12345/"[:-1]), (3, 1, "encoded-text", "%E3%81%82%E3%81%84"),
                    (4, 34, "denylisted", "secret name"), (5, 3, "product-id", "RJ12345678")]
     assert sorted(r.run for r in I.cjk_runs(docs).where("doc_id = 2").collect()) == ["漢字かな"]
-    I_small, I.SMALL_DENY_LIST = I.SMALL_DENY_LIST, 1
-    try:
-        assert sorted((r.line, r.column) for r in I.scan(docs, ["99999"], deny).where("kind = 'denylisted'").collect()) == [(4, 34)]
-    finally:
-        I.SMALL_DENY_LIST = I_small
+    # a long list gives the same findings, no list of either length is written into the plan
+    long = deny.unionAll(spark.range(20_000).selectExpr("concat('entry ', id, ' nobody wrote') as entry"))
+    found = [I.scan(docs, ["99999"], d).where("kind = 'denylisted'") for d in (deny, long)]
+    assert [sorted((r.line, r.column) for r in f.collect()) for f in found] == [[(4, 34)]] * 2
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in found]
+    assert all("INSET" not in x and " IN (" not in x for x in plans)
 
 
 def test_small_scalars(column, spark):
