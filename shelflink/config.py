@@ -37,6 +37,8 @@ class Config:
     text_sample: int | None = None
     settle_quiet_ms: int = 400
     settle_deadline_ms: int = 5000
+    # a tab without an event for so long is closed: streams forget its address and content
+    tab_lifetime_s: int = 24 * 60 * 60
     # switches
     artist_fallback: bool = True
     ignore_site_filter: bool = False

@@ -12,7 +12,7 @@ from ..functions import urls as U
 from ..scale import carry_last
 
 SETTLED = "tab bigint, url string, signature string, navigated_at timestamp, settled_at timestamp, reason string"
-_STATE = "url string, signature string, before string, started bigint, mutated bigint, waiting boolean"
+_STATE = "url string, signature string, before string, started bigint, mutated bigint, waiting boolean, seen bigint"
 WATERMARK = "10 minutes"
 
 
@@ -27,8 +27,11 @@ def _prepared(snapshots: DataFrame) -> DataFrame:
 def settle_gate(snapshots: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """After an address change, emit the page once its content differs from what was
     shown before and stayed quiet for ``settle_quiet_ms``, or at the deadline.  Another
-    address change restarts the clock.  Works on a stream with a watermark on ``ts``."""
-    quiet, deadline = cfg.settle_quiet_ms, cfg.settle_deadline_ms
+    address change restarts the clock.  Works on a stream with a watermark on ``ts``.
+
+    A tab's state ends by an event-time timer ``tab_lifetime_s`` after its last event, so state is
+    bounded by the tabs of that time; a tab that comes back later starts as a new one."""
+    quiet, deadline, lifetime = cfg.settle_quiet_ms, cfg.settle_deadline_ms, cfg.tab_lifetime_s * 1000
 
     def settle_time(s: dict) -> tuple[int, str]:
         limit = s["started"] + deadline
@@ -38,8 +41,8 @@ def settle_gate(snapshots: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
         return limit, "deadline"
 
     def fold(key, frames, state: GroupState):
-        names = ("url", "signature", "before", "started", "mutated", "waiting")
-        s = dict(zip(names, state.get)) if state.exists else dict(zip(names, ("", "", "", 0, 0, False)))
+        names = ("url", "signature", "before", "started", "mutated", "waiting", "seen")
+        s = dict(zip(names, state.get)) if state.exists else dict(zip(names, ("", "", "", 0, 0, False, 0)))
         out = []
 
         def close_until(now: int) -> None:
@@ -55,6 +58,7 @@ def settle_gate(snapshots: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
             events = pd.concat(list(frames)).sort_values(["at", "kind"], ascending=[True, False])
             for e in events.itertuples(index=False):
                 close_until(e.at - 1)
+                s["seen"] = max(s["seen"], e.at)
                 if e.kind == "url":
                     if e.page != s["url"]:
                         s.update(url=e.page, before=s["signature"], started=e.at, mutated=e.at, waiting=True)
@@ -62,9 +66,12 @@ def settle_gate(snapshots: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
                     s["signature"] = e.signature or s["signature"]
                     if s["waiting"]:
                         s["mutated"] = e.at
-        state.update(tuple(s[n] for n in names))
-        if s["waiting"]:
-            state.setTimeoutTimestamp(max(settle_time(s)[0], state.getCurrentWatermarkMs() + 1))
+        now = state.getCurrentWatermarkMs()
+        if state.hasTimedOut and not s["waiting"] and s["seen"] + lifetime <= now:
+            state.remove()
+        else:
+            state.update(tuple(s[n] for n in names))
+            state.setTimeoutTimestamp(max(settle_time(s)[0] if s["waiting"] else s["seen"] + lifetime, now + 1))
         frame = pd.DataFrame(out, columns=["tab", "url", "signature", "navigated_at", "settled_at", "reason"])
         for c in ("navigated_at", "settled_at"):
             frame[c] = pd.to_datetime(frame[c], unit="ms")
@@ -147,27 +154,36 @@ def one_in_flight(requests: DataFrame, within: str = "30 seconds") -> DataFrame:
     return requests.withWatermark("ts", within).dropDuplicatesWithinWatermark(["tab", "url"])
 
 
-def drop_stale(events: DataFrame) -> DataFrame:
+def drop_stale(events: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """``events(tab, url, kind in ('url', 'result'), payload, ts)``: results whose tab has
-    moved on are dropped (only the current address of a tab is kept as state)."""
+    moved on are dropped.  Only the current address of a tab is kept as state, and only until
+    ``tab_lifetime_s`` after its last event."""
+    lifetime = cfg.tab_lifetime_s * 1000
 
     def fold(key, frames, state: GroupState):
-        current = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        current, seen = state.get if state.exists else (None, 0)
         kept = []
         for e in pd.concat(list(frames)).sort_values(["ts", "kind"], ascending=[True, False]).itertuples(index=False):
+            seen = max(seen, int(e.at))
             if e.kind == "url":
                 current = e.page
             elif current is None or current == e.page:
                 kept.append((key[0], e.url, e.payload, e.ts))
         if current is not None:
-            state.update((current,))
+            state.update((current, seen))
+            state.setTimeoutTimestamp(max(seen + lifetime, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(kept, columns=["tab", "url", "payload", "ts"])
 
     return (
         events.withColumn("page", F.expr(U.page_url("url")))
+        .withColumn("at", F.unix_millis("ts"))
+        .withWatermark("ts", WATERMARK)
         .groupBy("tab")
         .applyInPandasWithState(
-            fold, "tab bigint, url string, payload string, ts timestamp", "page string", "append", GroupStateTimeout.NoTimeout
+            fold, "tab bigint, url string, payload string, ts timestamp", "page string, seen bigint", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 

@@ -29,6 +29,7 @@ def replay(spark, df, build, tmp_path, mode="append", order="ts", chunks=3):
         os.utime(folder / f"{i}.parquet", (1_700_000_000 + i * 10,) * 2)
     q = build(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
+    replay.state_rows = [o["numRowsTotal"] for o in q.lastProgress["stateOperators"]] if q.lastProgress else []
     q.stop()
     return spark.table(name)
 
@@ -120,3 +121,16 @@ def test_in_flight_and_errors(spark, tmp_path):
     assert replay(spark, df, G.one_in_flight, tmp_path, chunks=1).count() == 2
     log = spark.createDataFrame([("x", 1, False, "e1"), ("x", 2, True, ""), ("y", 1, True, ""), ("y", 2, False, "e2")], "k string, s bigint, ok boolean, message string").withColumn("at", F.expr("timestamp_seconds(s)")).drop("s")
     assert [(r.k, r.message) for r in S.current_errors(log, ["k"]).collect()] == [("y", "e2")]
+
+
+@pytest.mark.parametrize("gate", [G.settle_gate, G.drop_stale])
+def test_state_of_a_tab_ends_with_its_lifetime(spark, tmp_path, gate):
+    """Forty tabs, then days later a single one: the others' state is gone, their pages are out."""
+    day = 24 * 3_600_000
+    rows = [(k, f"http://a/{k}", f"s{k}", "mutation" if gate is G.settle_gate else "result", T0 + k + 1000) for k in range(40)]
+    rows += [(k, f"http://a/{k}", "", "url", T0 + k) for k in range(40)]
+    rows += [(99, f"http://z/{k}", "", "url", T0 + k * day) for k in (2, 3, 4)]
+    df = snapshots(spark, rows).withColumn("payload", F.col("signature"))
+    got = {r.tab for r in replay(spark, df, gate, tmp_path, chunks=5).collect()}
+    assert got - {99} == set(range(40))
+    assert replay.state_rows == [1]
