@@ -11,7 +11,7 @@ from ..operators.clean import effective_queries, work_titles
 from ..operators.extract import extract_pages
 from ..scale import stage
 from ..operators.match import with_item_forms
-from ..operators.search import search_similar
+from ..operators.search import search_catalogue, search_similar
 from .resolve import Search, by_request, distinct_requests, from_table, page_answers, page_level, staged_answers, with_requests
 
 # Every page of the generated data is treated as a work page, as the engine's own
@@ -87,8 +87,15 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def catalogue_search(requests: DataFrame, items: DataFrame, cfg: Config = DEFAULTS) -> Search:
-    """A catalogue as the stores' search engine: a step returns every item of its section with a
+def keyword_search(requests: DataFrame, items: DataFrame, cfg: Config = DEFAULTS) -> Search:
+    """A catalogue as the stores' search engine: a step returns the items of its section that
+    share enough words with the query (``search_match_percent``)."""
+    found = search_catalogue(requests.select(F.explode("queries").alias("query")), items, cfg)
+    return from_table(found.join(items.drop("store", "step_id", "pos"), "item_id"))
+
+
+def similarity_search(requests: DataFrame, items: DataFrame, cfg: Config = DEFAULTS) -> Search:
+    """A catalogue searched by the score itself: a step returns every item of its section with a
     title that could be a candidate (score ``min_candidate`` or more), whatever words it shares.
     Forms are compared once for all stores; the rounds read on what they ask."""
     formed = stage(with_item_forms(items))
@@ -100,7 +107,7 @@ def catalogue_search(requests: DataFrame, items: DataFrame, cfg: Config = DEFAUL
 def answered(spark: SparkSession, sf_dir: str, cfg: Config = FORCED) -> DataFrame:
     """One row per request and store asked."""
     requests = stage(distinct_requests(with_requests(work_pages(spark, sf_dir, cfg))))
-    return staged_answers(requests, catalogue_search(requests, catalogue(spark, sf_dir), cfg), cfg=cfg)
+    return staged_answers(requests, keyword_search(requests, catalogue(spark, sf_dir), cfg), cfg=cfg)
 
 
 @shared
