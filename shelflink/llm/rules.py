@@ -5,8 +5,16 @@ selectivity (share of rows it rejects) of every rule are measured; rules then ru
 rejection per cost, and a document that one rule rejects is spared the rest.  The order
 changes the work, never the verdict: a document is kept when it breaks no rule.
 
+The sample is the ``SAMPLE_ROWS`` distinct (doc_id, text) rows with the smallest hashes of the
+whole table, so it does not depend on how the table is sorted.  Only hashes travel to find the
+border, one number reaches the driver, and the chosen texts are measured on the executors.
+
+Words and lines are cut once a row; every measure and rule reads the same arrays.
+
 Edge cases: null text has no words; empty text fails the length rule; ties, repeated rows and
-extra columns do not matter, since every row is judged alone; an empty table gives an empty result.
+extra columns do not matter, since every row is judged alone (repeated rows are sampled once); a
+very long text is one row whose arrays hold its words and lines, in steps of n log n; an empty
+table gives an empty result, and rules stay in the order given.
 """
 
 from __future__ import annotations
@@ -22,11 +30,11 @@ from .common import BLANK, WORD, text_of
 SAMPLE_ROWS = 2000
 
 WORDS = f"regexp_extract_all(body, r'{WORD}', 0)"
-N_WORDS = f"cast(regexp_count(body, r'{WORD}') as bigint)"
 WORD_CHARS = f"cast(length(regexp_replace(body, r'{BLANK}+', '')) as bigint)"
 N_SYMBOLS = "cast(length(body) - length(translate(body, '#*$%&|<>', '')) as bigint)"
-_LINES = f"filter(split(body, '\n', -1), x -> rlike(x, r'{WORD}'))"
-N_DUP_LINES = f"element_at(transform(array({_LINES}), l -> cast(size(l) - size(array_distinct(l)) as bigint)), 1)"
+EVERY_LINE = r"split(body, '\n', -1)"
+LINES = f"filter(every_line, x -> rlike(x, r'{WORD}'))"
+N_DUP_LINES = "cast(size(lines) - size(array_distinct(lines)) as bigint)"
 
 
 def _repeat_words(words: str) -> str:
@@ -46,24 +54,25 @@ def _repeat_words(words: str) -> str:
         f" cast(x - shiftleft(shiftright(x, {bits}), {bits}) as int), -1)), x -> x >= 0)"
     )
     # exact check of the few windows whose hashes agree: sorted by their words, neighbours compared
-    named = "array_sort(transform(a, i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) as t, i as i)))"
+    named = "sort_array(transform(a, i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) as t, i as i)))"
     same = (
         "filter(transform(s, (x, i) -> if((i > 0 and s[i - 1].t = x.t) or (i + 1 < size(s) and s[i + 1].t = x.t), x.i, -1)), x -> x >= 0)"
     )
     covered = "cast(size(array_distinct(concat(d, transform(d, x -> x + 1), transform(d, x -> x + 2)))) as bigint)"
     return (
-        f"aggregate(array({words}), 0L, (z, w) -> if(size(w) < 4, 0L, element_at(transform(array(array_sort({packed})),"
+        f"aggregate(array({words}), 0L, (z, w) -> if(size(w) < 4, 0L, element_at(transform(array(sort_array({packed})),"
         f" p -> element_at(transform(array({alike}), a -> if(size(a) = 0, 0L, element_at(transform(array({named}),"
         f" s -> element_at(transform(array({same}), d -> {covered}), 1)), 1))), 1)), 1)))"
     )
 
 
-N_REPEAT_WORDS = _repeat_words(WORDS)
+N_REPEAT_WORDS = _repeat_words("words")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is SQL over ``body`` (the text, never null) and measures already in the row."""
+    """``rejects`` is SQL over ``body`` (the text, never null), its ``words``, ``every_line``, the
+    ``lines`` with a word, and measures already in the row."""
 
     name: str
     rejects: str
@@ -81,30 +90,35 @@ def default_rules() -> list[Rule]:
     return [
         Rule("symbols", "10 * n_symbols > 3 * n_words"),
         Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
-        Rule("duplicate_lines", f"10 * n_dup_lines > 5 * size({_LINES})"),
+        Rule("duplicate_lines", "10 * n_dup_lines > 5 * size(lines)"),
         Rule("shouting", "length(regexp_replace(body, r'[^\\p{Lu}]+', '')) * 10 > 6 * length(regexp_replace(body, r'[^\\p{L}]+', ''))"),
-        Rule("bullets", r"size(filter(split(body, '\n', -1), x -> rlike(x, r'^[\x20\x09-\x0D]*[-*•]'))) * 10 > 9 * size(split(body, '\n', -1))"),
-        Rule("ellipsis", r"size(filter(split(body, '\n', -1), x -> rlike(x, r'(\.\.\.|…)[\x20\x09-\x0D]*\z'))) * 10 > 3 * size(split(body, '\n', -1))"),
+        Rule("bullets", r"size(filter(every_line, x -> rlike(x, r'^[\x20\x09-\x0D]*[-*•]'))) * 10 > 9 * size(every_line)"),
+        Rule("ellipsis", r"size(filter(every_line, x -> rlike(x, r'(\.\.\.|…)[\x20\x09-\x0D]*\z'))) * 10 > 3 * size(every_line)"),
         Rule("letters", rf"regexp_count(body, r'[^\x20\x09-\x0D]*\p{{L}}[^\x20\x09-\x0D]*') * 10 < 6 * n_words"),
     ]
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, ``body`` and the base measures of every whole text."""
-    return docs.select(
-        "doc_id", text_of().alias("body")
-    ).selectExpr(
-        "doc_id", "body", f"{N_WORDS} as n_words", f"{WORD_CHARS} as word_chars", f"{N_SYMBOLS} as n_symbols",
+    """doc_id, ``body``, its words and lines, and the base measures of every whole text."""
+    cut = docs.select("doc_id", text_of().alias("body")).selectExpr("doc_id", "body", f"{WORDS} as words", f"{EVERY_LINE} as every_line")
+    return cut.selectExpr("*", f"{LINES} as lines").selectExpr(
+        "*", "cast(size(words) as bigint) as n_words", f"{WORD_CHARS} as word_chars", f"{N_SYMBOLS} as n_symbols",
         f"{N_DUP_LINES} as n_dup_lines", f"{N_REPEAT_WORDS} as n_repeat_words",
     )
 
 
+def sample_of(docs: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, text) of the ``rows`` distinct rows with the smallest hashes, over the whole table."""
+    hashed = docs.select("doc_id", "text").withColumn("h", F.xxhash64("doc_id", "text"))
+    border = hashed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
+    chosen = hashed.where(F.col("h") <= F.lit(border).cast("long"))
+    return chosen.groupBy("h").agg(F.first(F.struct("doc_id", "text")).alias("row")).select("row.doc_id", "row.text")
+
+
 def rank_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost on the first ``sample_rows`` documents that are read (taking
-    them reads as few partitions as hold them).  The measured sample is held in memory only while
-    it is timed; each rule's cost is the time of its own pass."""
-    first = docs.select("doc_id", "text")
-    sample = measure(docs.sparkSession.createDataFrame(first.head(sample_rows), first.schema)).cache()
+    """Rules by rejection per cost on ``sample_rows`` documents chosen by hash.  The measured
+    sample is cached only while it is timed; each rule's cost is the time of its own pass."""
+    sample = measure(sample_of(docs, sample_rows)).cache()
     try:
         rows = max(sample.count(), 1)
 

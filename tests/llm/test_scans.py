@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 from fractions import Fraction
+from pyspark.sql import functions as F
+
 
 from shelflink.llm import licenses as C
 from shelflink.llm import rules as R
@@ -117,6 +119,17 @@ def test_costly_rules_that_reject_nothing_come_last(spark):
     assert [r.name for r in R.rank_rules(docs, rules)] == ["cheap", "costly"]
 
 
+def test_rule_sample_covers_the_table_whatever_its_order(spark):
+    rows = [(k, f"text {k}", k // 500) for k in range(2000)] + [(None, None, 9)] * 700 + [(7, "text 7", 0)] * 900
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, h int")
+    pick = lambda d: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in R.sample_of(d, 200).collect())
+    first = pick(docs.orderBy("doc_id"))
+    assert first == pick(docs.orderBy(F.desc("doc_id"))) and len(first) == 200 == len(set(first))
+    assert {k // 500 for is_null, k, _ in first if not is_null} == {0, 1, 2, 3}
+    assert len(pick(docs.limit(3))) <= 3 and pick(docs.limit(0)) == []
+    assert [r.name for r in R.rank_rules(docs.limit(0), R.default_rules())] == [r.name for r in R.default_rules()]
+
+
 def test_licenses_of_several_paragraphs_amid_prose(spark):
     """Standard layouts with blank lines, notices inside sentences, and a whole long licence."""
     mit = C.TEMPLATES["MIT"][1]
