@@ -3,6 +3,7 @@ semantics can be written in SQL.  Every query reads its whole tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from ..functions import urls as U
 from ..functions.scores import containment, estimate_cny, match_label, resolve_rate, score_pairs
 from ..operators import cache, captures, classify, clean, fingerprint, health, identifiers, match, quality, redact, replay, similar
 from ..operators.search import search_catalogue
+from ..scale import checkpoint_dir, drop_stage, stage
 from ..sources import reports, responses
-from ..streaming import gates, state
+from ..streaming import gates, sink, state
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -645,24 +647,38 @@ _CAP = """WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM
     d AS (SELECT *, coalesce(fp, false) OR k % 9 = 1 OR CASE WHEN recognized THEN event_type = 'click' OR over ELSE over END AS failed FROM c)"""
 
 
-@query(
-    "capture_merge",
-    f"""{_CAP}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, k // 10 ORDER BY event_id DESC) AS n FROM d)
+_MERGED = f"""{_CAP}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, k // 10 ORDER BY event_id DESC) AS n FROM d)
     SELECT user_id || '/' || (k // 10) AS page_key, printf('QA-%04d', min(event_id) + 1) AS id, CAST(min_by(k, event_id) AS INT) AS novelty,
       CAST(count(*) AS BIGINT) AS visits, CAST(count(*) FILTER (n <= 6) AS INT) AS analyses, CAST(max_by(total, event_id) AS INT) AS requests,
       CASE WHEN count(*) > 1 AND count(*) FILTER (hit) > 0 THEN 'PASS' ELSE 'NOT_TESTED' END AS cache_behavior,
       min_by(CASE WHEN k % 9 = 0 THEN 'PASS' WHEN k % 9 = 1 THEN 'FAIL' WHEN k % 9 = 2 THEN 'EXPECTED_LIMITATION' ELSE 'NOT_TESTED' END, event_id) AS verdict,
       CASE WHEN min_by(k % 7, event_id) = 0 THEN min_by(k % 14, event_id) = 0 END AS false_positive,
-      min_by(CASE WHEN event_type = 'click' THEN 'FAIL' ELSE 'PASS' END, event_id) AS store_search FROM r GROUP BY user_id, k // 10""",
-)
-def capture_merge(spark, sf_dir):
-    merged = captures.merge_captures(_event_captures(spark, sf_dir))
-    return merged.selectExpr(
+      min_by(CASE WHEN event_type = 'click' THEN 'FAIL' ELSE 'PASS' END, event_id) AS store_search FROM r GROUP BY user_id, k // 10"""
+
+
+def _merged(records):
+    return records.selectExpr(
         "page_key", "id", "novelty.score as novelty", "visits", "requests.analyses as analyses", "requests.total as requests",
         "results['cacheBehavior'] as cache_behavior", "results['storeSearch'] as store_search", "verdict", "match.false_positive as false_positive",
     )
 
 
+@query("capture_merge", _MERGED)
+def capture_merge(spark, sf_dir):
+    return _merged(captures.merge_captures(_event_captures(spark, sf_dir)))
+
+
+@query("capture_merge_batches", _MERGED)
+def capture_merge_batches(spark, sf_dir):
+    """The same log in five batches through the stream's sink; one batch is delivered twice."""
+    table = f"{checkpoint_dir(spark)}/captures-{uuid.uuid4().hex}"
+    log, add = stage(_event_captures(spark, sf_dir)), sink.capture_sink(table, fan=2)
+    for batch in (0, 1, 1, 2, 3, 4):
+        add(log.where(F.pmod("capture_no", F.lit(5)) == batch), batch)
+    drop_stage(log)
+    return _merged(sink.read_captures(spark, table))
+
+
 @query(
     "quality_summary",
     f"""{_CAP} SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (k % 9 = 0) AS BIGINT) AS pass, CAST(count(*) FILTER (k % 9 = 1) AS BIGINT) AS fail,
