@@ -8,13 +8,16 @@ settles chance hits.  Last, the texts under one digest are compared byte for byt
 the greatest text of a digest must be the same string.  Should digests ever collide, the rows
 concerned are grouped by their whole text instead.
 
-Only digests travel, but for the texts of documents that share a digest.  Every reduction
-pre-aggregates before its shuffle, so a text that a third of all rows repeat is one row a task.
+Only digests travel up to the groups; the byte check joins texts with the digests of groups of two
+or more, which deals every text by its digest once (unique ones leave at the join).  Reductions of
+digests pre-aggregate before their shuffle, so a text that a third of all rows repeat is one row a
+task there; the check's join meets such a text as one hot key, which AQE's skew join may split.
 
 Texts are equal when identical after replacing each run of ASCII blanks by one space.
 Edge cases: null text counts as empty; empty texts equal each other; rows that repeat a doc_id
 and a text are copies of which one stays; a null doc_id sorts after all others; extra columns are
-ignored; an empty table gives an empty result.
+ignored; a very long text is one row, hashed and compared whole; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
