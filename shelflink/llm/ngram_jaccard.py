@@ -74,13 +74,13 @@ def _signature(tokens: np.ndarray, band: int) -> np.ndarray:
     return mix(tokens ^ mix(np.full(1, band + 1, dtype=np.uint64)))
 
 
-def _key(tokens: np.ndarray) -> str:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest()
+def _key(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _node(key: str) -> int:
+def _node(key: bytes) -> int:
     """Short name of a set; should two sets share one, both are verified."""
-    return int.from_bytes(bytes.fromhex(key[:16]), "big", signed=True)
+    return int.from_bytes(key[:8], "big", signed=True)
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
@@ -135,7 +135,7 @@ def combination_prefix(tokens: np.ndarray, band: int, t: Fraction, known: np.nda
 def _index(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
     """First pass.  Rows with ``doc_id`` describe documents; rows with ``part`` hold packed
     (signature, node) entries of one part of the index."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("node", pa.int64()), ("last", pa.int64()), ("bitmap", pa.binary()), ("part", pa.int64()), ("entries", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("node", pa.int64()), ("last", pa.int64()), ("bitmap", pa.binary()), ("part", pa.int64()), ("entries", pa.binary())])
 
     def flush(signatures: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not signatures:
@@ -153,7 +153,7 @@ def _index(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         blobs = [np.stack([a.view(np.int64), b]).tobytes() for a, b in zip(np.split(s, starts[1:]), np.split(v, starts[1:]))]
         none = pa.nulls(len(starts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(starts), pa.string()), none, none, pa.nulls(len(starts), pa.binary()), pa.array(part[starts]), pa.array(blobs, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(starts), pa.binary()), none, none, pa.nulls(len(starts), pa.binary()), pa.array(part[starts]), pa.array(blobs, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, nodes, held, seen = [], [], 0, set()
@@ -182,7 +182,7 @@ def _index(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
                 signatures, nodes, held = [], [], 0
         yield from flush(signatures, nodes)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, key string, node bigint, last bigint, bitmap binary, part bigint, entries binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, key binary, node bigint, last bigint, bitmap binary, part bigint, entries binary")
 
 
 def _lists(index: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, t:
                 if last[2] and _node(last[2]) == node:
                     rows.append((centre, block, is_centre, last[2], last[1].tobytes()))
             columns = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.binary()]
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["centre", "block", "is_centre", "key", "tokens"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -296,8 +296,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, t:
                     links.append((own, other))
         return pd.DataFrame(links, columns=["a", "b"])
 
-    cut_up = texts.select("text", "node", "centre", "block", "is_centre").mapInArrow(cut, "centre bigint, block int, is_centre boolean, key string, tokens binary")
-    return cut_up.groupBy("centre", "block").applyInPandas(compare, "a string, b string")
+    cut_up = texts.select("text", "node", "centre", "block", "is_centre").mapInArrow(cut, "centre bigint, block int, is_centre boolean, key binary, tokens binary")
+    return cut_up.groupBy("centre", "block").applyInPandas(compare, "a binary, b binary")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
@@ -393,6 +393,7 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     nodes = stage(rows.where("n > 0").groupBy("key", "node", "n", "last").agg(F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"), F.lit(0).cast("long").alias("often")).withColumn("number", F.monotonically_increasing_id()))
     lists = stage(_lists(index))
     drop_stage(index)
+    release(docs.sparkSession)
     pairs = lists.where("b is not null").groupBy("a", "b").agg(F.sum("w").alias("w"))
     named = lists.where("b is null")
     often = stage(named.orderBy(F.desc("w"), "a").limit(MOST_FREQUENT).select("a"))
@@ -403,6 +404,7 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
         extended = stage(_extended(docs, words, t, known))
         plain, nodes = nodes, stage(nodes.drop("often").join(extended.groupBy("node").agg(F.max("often").alias("often")), "node", "left").fillna(0, ["often"]))
         drop_stage(plain)
+        release(docs.sparkSession)
         postings = extended.select("node", F.explode("signatures").alias("signature"))
         if named.count() > MOST_FREQUENT:
             # shingles beyond the bound stay indexed alone, as lists of any length; how many of
@@ -416,6 +418,7 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
         postings = stage(postings.join(centres, "signature"))
         drop_stage(extended)
         drop_stage(centres)
+        release(docs.sparkSession)
         stars = postings.where("node <> a").select("a", F.col("node").alias("b"), F.lit(0).cast("long").alias("w"))
         candidates = pairs.unionByName(stars.distinct()).groupBy("a", "b").agg(F.max("w").alias("w"))
     candidates = stage(_possible(candidates, nodes, t))
@@ -445,7 +448,7 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     classes = stage(member.join(named, "root").select("key", "component_id", "root"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("set_key"), "text_hash", "root"]
     named = found.where("n > 0").join(classes, "key").select(*columns)
-    empty = found.where("n = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("string")}).select(*columns)
+    empty = found.where("n = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("binary")}).select(*columns)
     return named.unionByName(empty)
 
 
