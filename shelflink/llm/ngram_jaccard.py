@@ -17,9 +17,11 @@ shingles that come first in any common order (the prefix) contain a shared one.
 
 Links are verified in rounds, each against few centres: first every node with its best partner,
 then candidate pairs that are still in different components, last what long lists still hold apart
-(compared by bitmaps in blocks, so that no pair becomes a row before it passes).  Pairs inside a
-component need no verification, so a large group of near copies costs about one comparison a
-member, and yet no link between components is missed.
+(compared by bitmaps in blocks, so that no pair becomes a row before it passes).  There a node
+first names its ``PARTNERS`` most alike partners a block; only if some node had more does the
+comparison run again, over the components as they are by then, and last without that bound.
+Pairs inside a component need no verification, so a large group of near copies costs a few
+comparisons a member, and yet no link between components is missed.
 
 Bounds: the frequent shingles sent to the tasks are at most ``MOST_FREQUENT`` (the most frequent
 ones; any other stays indexed alone, which is right but slower).  Groups of the verification hold
@@ -54,6 +56,8 @@ BLOCK_SHINGLES = 1 << 20
 SMALL_SIDE = 1_000_000
 #: Bitmaps in one block of the comparison of long lists.
 BLOCK_NODES = 8192
+#: Most alike partners that a node names in one block and pass; further passes see to the rest.
+PARTNERS = 4
 #: Nodes that share a part of the inverted index.
 PART_NODES = 8192
 _U = np.uint64
@@ -322,8 +326,10 @@ def _possible(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     return mapped.where(near("map_a", "map_b", "both")).select("a", "b", "w").distinct()
 
 
-def _across(postings: DataFrame, nodes: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of different components that share a list and that their bitmaps allow.
+def _across(postings: DataFrame, nodes: DataFrame, roots: DataFrame, t: Fraction, partners: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different components that share a list and that their bitmaps allow; with
+    ``partners`` only that many a node and block, the most alike, and a row (null, null) where a
+    node had more.
 
     Lists that share nodes are one neighbourhood.  Its nodes are compared band by band in blocks:
     each task gets two blocks of at most about ``BLOCK_NODES`` bitmaps and returns the few pairs
@@ -355,14 +361,17 @@ def _across(postings: DataFrame, nodes: DataFrame, roots: DataFrame, t: Fraction
         left = np.flatnonzero(rows["block"] == rows["i"])
         right = np.flatnonzero(rows["block"] == rows["j"])
         same = rows["i"].iloc[0] == rows["j"].iloc[0]
-        found = []
+        found, more = [], False
         for k, x in enumerate(left):
             others = right[k + 1 :] if same else right
             both = n[x] + n[others]
             apart = np.bitwise_count(maps[x] ^ maps[others]).sum(axis=1, dtype=np.int64)
-            fits = others[((t.numerator + t.denominator) * (both - apart) >= 2 * t.numerator * both) & (root[others] != root[x])]
-            found += [(min(node[x], node[y]), max(node[x], node[y])) for y in fits]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            fit = np.flatnonzero(((t.numerator + t.denominator) * (both - apart) >= 2 * t.numerator * both) & (root[others] != root[x]))
+            if partners is not None and len(fit) > partners:
+                more = True
+                fit = fit[np.argsort(apart[fit] / both[fit], kind="stable")[:partners]]
+            found += [(min(node[x], node[y]), max(node[x], node[y])) for y in others[fit]]
+        return pd.DataFrame(found + [(None, None)] * more, columns=["a", "b"], dtype="Int64")
 
     return dealt.groupBy("hood", "band", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
@@ -438,10 +447,21 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     release(docs.sparkSession)
     # round 3: lists of the second pass that still span components
     if postings is not None:
-        across = stage(_across(postings, nodes, roots, t).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
-        if not across.isEmpty():
-            links = links.unionByName(stage(_verify(docs, across, nodes, words, t)))
-            roots = connected_components(links)
+        tried, partners = candidates.select("a", "b"), PARTNERS
+        while True:
+            named = stage(_across(postings, nodes, roots, t, partners))
+            across = stage(named.where("a is not null").join(tried, ["a", "b"], "left_anti"))
+            fresh = stage(_verify(docs, across, nodes, words, t))
+            joined = not fresh.isEmpty()
+            if joined:
+                links = links.unionByName(fresh)
+                roots = connected_components(links)
+            if named.where("a is null").isEmpty():
+                break
+            # some node had more partners: again, and all of them once a pass links nothing new
+            tried, partners = tried.unionByName(across), PARTNERS if joined else None
+            drop_stage(named)
+            release(docs.sparkSession)
     release(docs.sparkSession)
     member = nodes.join(roots, nodes["key"] == roots["a"], "left").select("key", "doc_id", F.coalesce("b", "key").alias("root"))
     named = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
