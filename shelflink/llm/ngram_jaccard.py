@@ -328,7 +328,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
 
 def _across(postings: DataFrame, nodes: DataFrame, roots: DataFrame, t: Fraction, partners: int | None = None) -> DataFrame:
     """Pairs (a, b) of different components that share a list and that their bitmaps allow; with
-    ``partners`` only that many a node and block, the most alike, and a row (null, null) where a
+    ``partners`` only that many a node and block, the most alike, and a row (a, a) where a
     node had more.
 
     Lists that share nodes are one neighbourhood.  Its nodes are compared band by band in blocks:
@@ -361,17 +361,17 @@ def _across(postings: DataFrame, nodes: DataFrame, roots: DataFrame, t: Fraction
         left = np.flatnonzero(rows["block"] == rows["i"])
         right = np.flatnonzero(rows["block"] == rows["j"])
         same = rows["i"].iloc[0] == rows["j"].iloc[0]
-        found, more = [], False
+        found = []
         for k, x in enumerate(left):
             others = right[k + 1 :] if same else right
             both = n[x] + n[others]
             apart = np.bitwise_count(maps[x] ^ maps[others]).sum(axis=1, dtype=np.int64)
             fit = np.flatnonzero(((t.numerator + t.denominator) * (both - apart) >= 2 * t.numerator * both) & (root[others] != root[x]))
             if partners is not None and len(fit) > partners:
-                more = True
+                found.append((node[x], node[x]))
                 fit = fit[np.argsort(apart[fit] / both[fit], kind="stable")[:partners]]
             found += [(min(node[x], node[y]), max(node[x], node[y])) for y in others[fit]]
-        return pd.DataFrame(found + [(None, None)] * more, columns=["a", "b"], dtype="Int64")
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("hood", "band", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
@@ -450,13 +450,13 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
         tried, partners = candidates.select("a", "b"), PARTNERS
         while True:
             named = stage(_across(postings, nodes, roots, t, partners))
-            across = stage(named.where("a is not null").join(tried, ["a", "b"], "left_anti"))
+            across = stage(named.where("a <> b").join(tried, ["a", "b"], "left_anti"))
             fresh = stage(_verify(docs, across, nodes, words, t))
             joined = not fresh.isEmpty()
             if joined:
                 links = links.unionByName(fresh)
                 roots = connected_components(links)
-            if named.where("a is null").isEmpty():
+            if named.where("a = b").isEmpty():
                 break
             # some node had more partners: again, and all of them once a pass links nothing new
             tried, partners = tried.unionByName(across), PARTNERS if joined else None
