@@ -135,29 +135,3 @@ def test_one_of_each_group_with_null_and_repeated_ids(spark):
     assert len(kept([(7, near[0]), (7, near[1]), (7, near[0])])) == 1
     assert len(kept([(None, near[0]), (None, near[1]), (None, near[0])])) == 1
     assert kept([(3, ""), (3, ""), (None, None), (4, alone), (4, alone)]) == sorted([(3, ""), (3, ""), (None, None), (4, alone)], key=repr)
-
-
-def test_nodes_with_more_partners_than_a_pass_names(spark, monkeypatch):
-    """Groups of near copies and texts just too far away: passes repeat until nothing is left."""
-    monkeypatch.setattr(J, "FREQUENT", 2)
-    monkeypatch.setattr(J, "BLOCK_NODES", 16)
-    monkeypatch.setattr(J, "PARTNERS", 1)
-    passes, across = [], J._across
-
-    def counted(postings, nodes, roots, t, partners=None):
-        found = across(postings, nodes, roots, t, partners)
-        passes.append((partners, found.where("a = b").count()))
-        return found
-
-    monkeypatch.setattr(J, "_across", counted)
-    rng = random.Random(5)
-    base = [f"v{k}" for k in range(80)]
-    texts = []
-    for k in range(90):
-        words = list(base)
-        for _ in range(1 + (k % 3)):
-            words[rng.randrange(80)] = f"n{rng.randrange(10**6)}"
-        texts.append(" ".join(words))
-    rows = list(enumerate(texts))
-    assert run(spark, rows, 4, Fraction(85, 100)) == brute(rows, 4, Fraction(85, 100))
-    assert passes[0][0] == 1 and passes[0][1] > 0 and len(passes) > 1
