@@ -116,3 +116,18 @@ def test_long_titles_are_scored_exactly_and_one_by_one():
     right = ["a" * 4400, "b" * 6000, "ab" * 49_000, "abd", "y" + "x" * 2000, "abc"]
     dice, lcs = overlap_arrays(left, right)
     assert dice.tolist() == [99, 0, 99, 50, 100, 0] and lcs.tolist() == [98, 0, 98, 67, 100, 0]
+
+
+def test_token_lists_stay_out_of_the_token_join(spark):
+    """A list carried once a token would grow with the square of its length, and look small enough
+    for a broadcast; the joins carry keys, and lists are met once a pair."""
+    items = spark.createDataFrame([(i, "s", "t", i, " ".join(f"w{i * k % 90}" for k in range(80))) for i in range(60)], "item_id int, store string, step_id string, pos int, title string")
+    asked = spark.createDataFrame([("w1 w2 w3",), ("w4 w8 w12 w1",)], "query string")
+    found = search_catalogue(asked, items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate explode(" in line]
+    assert exploded and not any(f"{name}#" in line.split("),", 1)[1] for line in exploded for name in ("tokens", "asked", "prefix", "title"))
+    assert "BroadcastHashJoin" not in plan
+    words = {r.item_id: set(r.title.split()) for r in items.collect()}
+    want = {(q.query, i) for q in asked.collect() for i, w in words.items() if 10 * len(w & set(q.query.split())) >= 7 * len(q.query.split())}
+    assert {(r.query, r.item_id) for r in found.collect()} == want != set()
