@@ -22,7 +22,7 @@ from ..functions.sql import Sql, case, let, quote
 from ..operators import match as M
 from ..operators.cache import cache_key
 from ..operators.health import severity, step_health, verdict_of
-from ..scale import stage
+from ..scale import release, stage
 from .stores import planned_steps, stores
 
 ITEM_FIELDS = [
@@ -207,7 +207,8 @@ def staged_answers(
     made, scored or ranked that the stop rules would throw away; the result is that of asking
     everything and cutting afterwards (``store_answers`` and its slice).
 
-    Every round is a table, so a lost executor repeats one round at most."""
+    Every round is a table, so a lost executor repeats one round at most, and the driver lets go
+    of a round's plans, shuffles and broadcasts before the next one."""
     if not callable(search):
         search = from_table(search)
     open_ = stage(requests)
@@ -221,6 +222,7 @@ def staged_answers(
         scored = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
         answer = stage(_graded(scored.repartition("request_id"), cfg))
         answers = answer if answers is None else answers.unionByName(answer)
+        release(open_.sparkSession)
         if rank + 1 < len(cfg.stores):
             open_ = stage(open_.join(answer.where("kind = 'high'").select("request_id"), "request_id", "left_anti"))
             if open_.isEmpty():
@@ -237,7 +239,9 @@ def _round(open_, search: Search, search_steps, cached, cfg: Config, store: str,
     only = f"step.store = {quote(store)} and step.tier = {tier}"
     asked = open_.select(F.explode(F.expr(f"filter({planned_steps('queries', cfg)}, step -> {only})")).alias("s")).select("s.store", "s.step_id", "s.query").distinct()
     items, scores = search(asked)
-    return stage(_scored(_with_answers(open_, items, search_steps, cached, cfg, only), cfg, scores))
+    rows = stage(_scored(_with_answers(open_, items, search_steps, cached, cfg, only), cfg, scores))
+    release(open_.sparkSession)
+    return rows
 
 
 _PAYLOAD = ["store_rank", "tier", "step_id", "query", "http_status", "ok", "step_reason", "from_cache", "cache_entry_found", "item"]
