@@ -387,10 +387,12 @@ def search_steps(parsed: DataFrame) -> DataFrame:
 
 
 def store_items(parsed: DataFrame) -> DataFrame:
-    """One row per item of an answer, ``pos`` = place in the answer."""
+    """One row per item of an answer, ``pos`` = place in the answer.  The outer form with a filter
+    behind it: for the plain one Spark adds a filter on the size of ``items`` and moves it below the
+    parsing, so every body would be parsed again for each of the places that filter names it."""
     return parsed.select(
-        "store", "step_id", "query", F.posexplode("items").alias("pos", "_item")
-    ).select("store", "step_id", "query", "pos", "_item.*")
+        "store", "step_id", "query", F.posexplode_outer("items").alias("pos", "_item")
+    ).where("pos is not null").select("store", "step_id", "query", "pos", "_item.*")
 
 
 def parse_product_page(pages: DataFrame) -> DataFrame:

@@ -122,3 +122,17 @@ def test_other_stores_are_scored_with_what_they_were_asked(spark):
         "confidence:string,notes:array<string>,chapter_hint:int,variants:array<string>>, queries array<string>, artists array<string>")
     got = resolve(pages, R.store_items(p), R.search_steps(p)).first()
     assert got.status == "no_result" and not {s.kind for s in got.stores} & {"high", "possible"}
+
+
+def test_items_are_parsed_once(spark):
+    """A filter that Spark derives from ``posexplode`` would hold the whole parser several times."""
+    parsed = R.parse_responses(spark.createDataFrame(
+        [("s", "dlsite", 1, "q", 200, "", PAGE_A, None)], "step_id string, store string, tier int, query string, http_status int, final_url string, body string, ts timestamp"))
+    marks = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("work_price_base")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 24))
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation")
+    try:
+        assert 0 < marks(R.store_items(parsed)) <= marks(parsed.select("items"))
+    finally:
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+        spark.conf.unset("spark.sql.maxPlanStringLength")
