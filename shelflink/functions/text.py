@@ -82,7 +82,8 @@ nfkc_each = nfkc_each.asNondeterministic()
 
 
 def trim_blanks(value: Sql) -> Sql:
-    return sub(value, r"^\s+|\s+$")
+    """Blanks off both ends; a run of blanks inside is tried once, not from each of its places."""
+    return sub(value, r"^\s+|(?<!\s)\s+$")
 
 
 def collapse_spaces(value: Sql) -> Sql:

@@ -15,7 +15,7 @@ from ..functions import urls as U
 from ..functions.scores import containment, estimate_cny, match_label, resolve_rate, score_pairs
 from ..operators import cache, captures, classify, clean, fingerprint, health, identifiers, match, quality, redact, replay, similar
 from ..operators.search import search_catalogue
-from ..scale import checkpoint_dir, drop_stage, stage
+from ..scale import checkpoint_dir, drop_stage, spread, stage
 from ..sources import reports, responses
 from ..streaming import gates, sink, state
 from . import tables as T
@@ -871,7 +871,7 @@ def _parsed_parts(spark, sf_dir):
         f"when p_partkey % 5 = {k} then case when p_partkey div 5 % 4 < 2 then {ok} when p_partkey div 5 % 4 = 2 then {none} else {bad} end"
         for k, (ok, none, bad) in enumerate(_BODY.values())
     )
-    responses_ = T.table(spark, sf_dir, "part").selectExpr(
+    responses_ = spread(T.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).selectExpr(
         f"{store} as store", "1 as tier", "p_name as query", "cast(p_partkey as string) as step_id", "200 as http_status", "'' as final_url",
         f"case {pick} end as body", "cast(null as timestamp) as ts",
     )

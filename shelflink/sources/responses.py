@@ -286,7 +286,7 @@ def items_e(body: Sql, limit: int) -> Sql:
 
 
 def _blank(body: Sql) -> Sql:
-    return f"{trim_blanks(body)} = ''"
+    return f"not {S.has(body, r'\S')}"
 
 
 def reason_a(body: Sql, n: Sql) -> Sql:

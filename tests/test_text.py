@@ -1,6 +1,11 @@
+import time
+
+from pyspark.sql import functions as F
+
 from shelflink.functions import text as X
 from shelflink.functions import urls as U
 from shelflink.functions.sql import quote
+from shelflink.scale import spread
 
 
 def test_decode_entities(column):
@@ -65,3 +70,19 @@ def test_search_urls(column):
 def test_nfkc(spark):
     df = spark.createDataFrame([("ＡＢＣ ①",), ("plain",), (None,)], "v string")
     assert [r[0] for r in df.select(X.nfkc("v")).collect()] == ["ABC 1", "plain", None]
+
+
+def test_blanks_inside_a_text_are_tried_once(column):
+    """From each of its places on, a run of 300,000 blanks takes minutes."""
+    start = time.time()
+    assert column(X.trim_blanks, ["\t a" + " " * 300_000 + "b　", " \n ", "", None, "x \u0085", "a\r\n"]) == [
+        "a" + " " * 300_000 + "b", "", "", None, "x\u0085", "a",
+    ]
+    assert time.time() - start < 30
+
+
+def test_spread_deals_rows_over_tasks(spark):
+    dealt = spread(spark.range(10_000).coalesce(1), rows_per_task=1_000)
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 10 and sum(sizes) == 10_000 and max(sizes) < 2_000
+    assert spread(spark.range(0)).count() == 0
