@@ -917,4 +917,5 @@ def product_pages(spark, sf_dir):
         f"concat(if(p_partkey % 3 < 2, {_PAD}, ''), '<h1 itemprop=\"name\" id=\"work_name\"> ', p_name, ' </h1><span class=\"work_price_base\">', {_PRICE},"
         " '</span><span class=\"work_price_suffix\">円</span>')"
     )
-    return responses.parse_product_page(T.table(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) as url", f"{body} as body"))
+    part = spread(T.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
+    return responses.parse_product_page(part.selectExpr("cast(p_partkey as string) as url", f"{body} as body"))
