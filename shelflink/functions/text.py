@@ -230,11 +230,9 @@ def short_hash(value: Sql, length: int = 8) -> Sql:
     report key has to be reproduced; new keys use ``xxhash64``."""
 
     def digest(encoded: Sql) -> Sql:
-        units = (
-            f"if({encoded} = '', cast(array() as array<bigint>), transform("
-            f"sequence(1, length({encoded}), 4), i -> cast(conv(substr({encoded}, i, 4), 16, 10) as bigint)))"
-        )
-        return f"aggregate({units}, 2166136261L, (h, u) -> ((h ^ u) * 16777619L) & 4294967295L)"
+        # cut in one pass: substr would count to each unit from the start of the text again
+        units = f"regexp_extract_all({encoded}, '(....)', 1)"
+        return f"aggregate({units}, 2166136261L, (h, u) -> ((h ^ cast(conv(u, 16, 10) as bigint)) * 16777619L) & 4294967295L)"
 
     hashed = let(f"hex(encode({text(value)}, 'UTF-16BE'))", digest)
     return f"left(lpad(lower(hex({hashed})), 8, '0'), {length})"

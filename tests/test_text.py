@@ -86,3 +86,13 @@ def test_spread_deals_rows_over_tasks(spark):
     sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 10 and sum(sizes) == 10_000 and max(sizes) < 2_000
     assert spread(spark.range(0)).count() == 0
+
+
+def test_short_hash_reads_a_long_text_once(column):
+    """Counting to each unit from the start of the text again takes minutes here."""
+    start, value = time.time(), "a題" * 100_000
+    h = 2166136261
+    for ch in value:
+        h = (h ^ ord(ch)) * 16777619 & 0xFFFFFFFF
+    assert column(X.short_hash, [value, "", None]) == [f"{h:08x}", "811c9dc5", "811c9dc5"]
+    assert time.time() - start < 30
