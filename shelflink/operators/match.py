@@ -36,11 +36,22 @@ def with_item_forms(items: DataFrame, title: str = "title") -> DataFrame:
 def with_query_forms(requests: DataFrame, queries: str = "queries") -> DataFrame:
     """Adds ``query_forms``: (position, query, form) of every query variant."""
     normalized = requests.withColumn("_nfkc", X.nfkc_each(queries))
-    forms = (
+    return normalized.withColumn("query_forms", F.expr(_query_forms(queries))).drop("_nfkc")
+
+
+def _query_forms(queries: str) -> str:
+    return (
         f"flatten(transform(_nfkc, (q, i) -> transform({match_forms('q', 'q')},"
         f" f -> named_struct('pos', i, 'query', {queries}[i], 'form', f))))"
     )
-    return normalized.withColumn("query_forms", F.expr(forms)).drop("_nfkc")
+
+
+def with_both_forms(hits: DataFrame, title: str = "title", queries: str = "queries") -> DataFrame:
+    """``with_item_forms`` and ``with_query_forms`` in one crossing to Python, hence one worker a task."""
+    normalized = hits.withColumns({"title_nfkc": X.nfkc(F.coalesce(title, F.lit(""))), "_nfkc": X.nfkc_each(queries)})
+    return normalized.withColumns(
+        {"forms": F.expr(match_forms("title_nfkc", "title_nfkc")), "query_forms": F.expr(_query_forms(queries))}
+    ).drop("_nfkc")
 
 
 def score_rows(
@@ -107,7 +118,7 @@ def rank_candidates(hits: DataFrame, key: str = "request_id", cfg: Config = DEFA
     """Score and rank item lists: ``hits(key, pos, title, queries, chapter_hint)`` ->
     ``key, pos, title, score, method, matched_query, rank`` (score desc, pos asc)."""
     payload = [c for c in hits.columns if c not in (key, "pos", "queries", "chapter_hint")]
-    prepared = with_query_forms(with_item_forms(hits))
+    prepared = with_both_forms(hits)
     scored = score_rows(prepared, [key, "pos"], payload, cfg)
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))
     return scored.withColumn("rank", F.row_number().over(order))

@@ -131,3 +131,16 @@ def test_token_lists_stay_out_of_the_token_join(spark):
     words = {r.item_id: set(r.title.split()) for r in items.collect()}
     want = {(q.query, i) for q in asked.collect() for i, w in words.items() if 10 * len(w & set(q.query.split())) >= 7 * len(q.query.split())}
     assert {(r.query, r.item_id) for r in found.collect()} == want != set()
+
+
+def test_ranking_crosses_to_python_twice(spark):
+    """Once for the forms of both sides, once for the scores: each crossing is a worker of every task."""
+    hits = spark.createDataFrame(
+        [("r", 0, "ＡＢＣ 第1話", ["abc", "ＸＹＺ"], 1), ("r", 1, None, ["abc", "ＸＹＺ"], 1)],
+        "request_id string, pos int, title string, queries array<string>, chapter_hint int",
+    )
+    ranked = M.rank_candidates(hits)
+    ranked.collect()
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+    both = M.with_both_forms(hits).select("forms", "query_forms", "title_nfkc").collect()
+    assert both == M.with_query_forms(M.with_item_forms(hits)).select("forms", "query_forms", "title_nfkc").collect()
