@@ -39,8 +39,10 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 #: Stands before a mark that the text itself contains.
 LITERAL = "\x00" + MARK
-#: Letters encoded at a time (a longer text is a batch of its own).
-BATCH_LETTERS = 3_000_000
+#: Letters encoded at a time (a longer text is a batch of its own), and rows whose texts are held as
+#: Python strings at a time: a task's memory follows these, not the size of Spark's Arrow batches.
+BATCH_LETTERS = 200_000
+BATCH_ROWS = 256
 #: Longer units (rare) are searched one by one.
 LONG_UNIT = 64
 
@@ -393,6 +395,15 @@ def _batches(texts: list) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list]]:
+    """Ids and texts of a batch, as many rows at a time as are encoded together."""
+    for start in range(0, batch.num_rows, BATCH_ROWS):
+        rows = batch.slice(start, BATCH_ROWS)
+        texts = rows.column(1).to_pylist()
+        for part in _batches(texts):
+            yield rows.column(0).slice(part.start, part.stop - part.start), texts[part]
+
+
 def encode(docs: DataFrame, model_file: str | None = None, n: int = 4) -> DataFrame:
     """One row a document: doc_id, ``ids`` of the best segmentation, ``n_pieces``, ``nbest`` (score,
     number of pieces and changes against the best, see ``expand``), and ``round_trip``: whether the
@@ -405,9 +416,7 @@ def encode(docs: DataFrame, model_file: str | None = None, n: int = 4) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value, n)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in _batches(texts):
-                own = texts[part]
+            for doc_ids, own in _parts(batch):
                 ids, ends, nbest = encoder.encode(own)
                 spelled = [b" " + t.encode() if t else b"" for t in own]
                 exact = [True] * len(own)
@@ -415,7 +424,7 @@ def encode(docs: DataFrame, model_file: str | None = None, n: int = 4) -> DataFr
                     exact = [encoder.decoded(ids[ends[k] : ends[k + 1]]) == x for k, x in enumerate(spelled)]
                 paths = [[{"score": s, "n_pieces": c, "changes": [{"at": a, "drop": d, "put": p} for a, d, p in x]} for s, c, x in found] for found in nbest]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(part.start, len(own)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
+                    doc_ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
                     pa.array(np.diff(ends), pa.int64()), pa.array(paths, schema[3].type), pa.array(exact),
                 ], schema=schema)
 

@@ -1,8 +1,10 @@
 """Encoder against a full enumeration of the lattice, and exact round trips."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelflink.llm import pieces as P
@@ -84,3 +86,36 @@ def test_query_form(spark, real):
     back = {r.doc_id: r.text for r in P.decode(encoded.where("doc_id > 1")).collect()}
     assert all(back[k] == t for k, t in enumerate(ODD) if k > 1)
     assert P.encode(docs.limit(0)).collect() == []
+
+
+def test_memory_follows_the_parts_of_a_batch(real):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioubdkst") for _ in range(rng.randrange(2, 9)))
+    texts = [" ".join(word() for _ in range(500)) for _ in range(1200)] + [None, ""]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    encoder, seen = P.Encoder(real, 4), []
+    tracemalloc.start()
+    for doc_ids, own in P._parts(batch):
+        assert [texts[k] for k in doc_ids.to_pylist()] == own
+        encoder.encode(own)
+        seen += doc_ids.to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == list(range(len(texts))) and peak < 100e6
+
+
+def test_parts_do_not_change_results(real, monkeypatch):
+    texts = ["lorem ipsum dolor", "x" * 300, "", None, "日本語 漢字", "tab\tnew\r\nline"] * 40
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+
+    def encoded():
+        out = []
+        for _, own in P._parts(batch):
+            ids, ends, nbest = P.Encoder(real, 4).encode(own)
+            out += [(ids[ends[k] : ends[k + 1]].tolist(), nbest[k]) for k in range(len(own))]
+        return out
+
+    whole = encoded()
+    monkeypatch.setattr(P, "BATCH_LETTERS", 50)
+    monkeypatch.setattr(P, "BATCH_ROWS", 7)
+    assert encoded() == whole
