@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..functions.scores import containment, estimate_cny, match_label, resolve_rate, score_pairs
 from ..operators import cache, captures, classify, clean, fingerprint, health, identifiers, match, quality, redact, replay, similar
+from ..operators.extract import extract_pages
 from ..operators.search import search_catalogue
 from ..scale import checkpoint_dir, drop_stage, spread, stage
 from ..sources import reports, responses
@@ -205,7 +206,8 @@ def page_novelty(spark, sf_dir):
 
 @query("clean_titles")
 def clean_titles(spark, sf_dir):
-    pages = T.page_info(spark, sf_dir).select("page_id", "host", F.col("title").alias("raw"))
+    # of the page summary only these columns are read, so the others are never made
+    pages = extract_pages(T.pages(spark, sf_dir)).select("page_id", "host", F.col("title").alias("raw"))
     return clean.clean_titles(pages).select(
         "page_id", "clean.cleaned", "clean.confidence", F.array_join("clean.notes", ",").alias("notes"), "clean.chapter_hint"
     )

@@ -9,7 +9,7 @@ from ..config import DEFAULTS, Config
 from ..operators.classify import classify_pages
 from ..operators.clean import effective_queries, work_titles
 from ..operators.extract import extract_pages
-from ..scale import release, stage
+from ..scale import release, spread, stage
 from ..operators.match import with_item_forms
 from ..operators.search import search_catalogue, search_similar
 from .resolve import Search, by_request, distinct_requests, from_table, page_answers, page_level, staged_answers, with_requests
@@ -51,6 +51,15 @@ def forget() -> None:
     _shared.clear()
 
 
+#: Pages of one task; reading one page costs some milliseconds.
+PAGE_ROWS = 500
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages dealt over tasks: a file packs so many that its scan is one or two of them."""
+    return spread(table(spark, sf_dir, "pages"), rows_per_task=PAGE_ROWS)
+
+
 @shared
 def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page-summary table: read by everything after it, so it is written once."""
