@@ -63,7 +63,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @shared
 def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page-summary table: read by everything after it, so it is written once."""
-    return extract_pages(table(spark, sf_dir, "pages"))
+    return extract_pages(pages(spark, sf_dir))
 
 
 @shared

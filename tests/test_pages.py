@@ -35,3 +35,9 @@ def test_titles_are_cleaned_in_tasks_of_a_few_hundred_pages(spark, folder):
 def test_titles_are_cleaned_without_the_rest_of_the_summary(spark, folder):
     plan = Q.clean_titles(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "json_ld" not in plan and "<article" not in plan and "ld+json" not in plan
+
+
+def test_pages_are_summarised_in_tasks_of_a_few_hundred_pages(spark, folder):
+    T.forget()
+    assert len(T.page_info(spark, folder).inputFiles()) == 3
+    assert sum(r.pages for r in Q.page_reasons(spark, folder).collect()) == PAGES
