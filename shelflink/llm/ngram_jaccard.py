@@ -16,10 +16,12 @@ shingles that come first in any common order (the prefix) contain a shared one.
   the shorter first prefix; parity bitmaps of a few bits a shingle), then verified on whole sets.
 
 Links are verified in rounds, each against few centres: first every node with its best partner,
-then candidate pairs that are still in different components, last what long lists still hold apart
-(compared by bitmaps in blocks, so that no pair becomes a row before it passes).  Pairs inside a
-component need no verification, so a large group of near copies costs about one comparison a
-member, and yet no link between components is missed.
+then candidate pairs that are still in different components, last what long lists still hold apart.
+That is compared by bitmaps in blocks, in passes: first each block names a forest of the pairs that
+pass, then every node its nearest partners in other components, eight times as many in each pass,
+until no pair was left out between components.  Pairs inside a component need no verification, so a
+large group of near copies costs a few comparisons a member, and yet no link between components is
+missed.  Only pairs that pass the bitmaps and prove to be no links are all verified.
 
 Bounds: the frequent shingles sent to the tasks are at most ``MOST_FREQUENT`` (the most frequent
 ones; any other stays indexed alone, which is right but slower).  Groups of the verification hold
@@ -54,6 +56,8 @@ BLOCK_SHINGLES = 1 << 20
 SMALL_SIDE = 1_000_000
 #: Bitmaps in one block of the comparison of long lists.
 BLOCK_NODES = 8192
+#: Partners that a node of long lists names in the second pass; eight times as many in each further one.
+PARTNERS = 8
 #: Nodes that share a part of the inverted index.
 PART_NODES = 8192
 _U = np.uint64
@@ -322,24 +326,34 @@ def _possible(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     return mapped.where(near("map_a", "map_b", "both")).select("a", "b", "w").distinct()
 
 
-def _across(postings: DataFrame, nodes: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of different components that share a list and that their bitmaps allow.
+def _placed(some: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, n, bitmap, root): ``some`` of the nodes, each with a short name of its component."""
+    named = nodes.select("key", F.col("number").alias("root"))
+    own = some.select("key", "node", "n", "bitmap").withColumnRenamed("key", "own").join(roots, F.col("own") == F.col("a"), "left").withColumn("top", F.coalesce("b", "own")).select("node", "n", "bitmap", "top")
+    return own.join(named, F.col("top") == F.col("key")).select("node", "n", "bitmap", "root")
 
-    Lists that share nodes are one neighbourhood.  Its nodes are compared band by band in blocks:
-    each task gets two blocks of at most about ``BLOCK_NODES`` bitmaps and returns the few pairs
-    that pass, so neither pairs nor a whole neighbourhood are ever rows of one task."""
-    named = nodes.select("key", F.col("number").alias("root"))  # a short name for each component
-    own = nodes.join(roots, nodes["key"] == roots["a"], "left").withColumn("top", F.coalesce("b", "key")).select("node", "n", "bitmap", "top")
-    own = stage(own.join(named, F.col("top") == F.col("key")).select("node", "n", "bitmap", "root"))
-    placed = postings.join(own.select("node", "root"), "node")
-    open_ = stage(placed.groupBy("signature").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("signature"))
+
+def _hoods(postings: DataFrame, placed: DataFrame) -> DataFrame:
+    """(node, hood) of the nodes in lists that span components; lists that share nodes are one
+    neighbourhood."""
+    open_ = stage(postings.join(placed.select("node", "root"), "node").groupBy("signature").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("signature"))
     edges = stage(postings.join(open_, "signature").select("node", F.col("a").alias("first")).distinct())
     hoods = connected_components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    members = edges.select("node").distinct().join(hoods, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("hood"))
+    return edges.select("node").distinct().join(hoods, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("hood"))
+
+
+def _across(members: DataFrame, placed: DataFrame, t: Fraction, partners: int) -> DataFrame:
+    """Pairs (a, b) of different components in one neighbourhood that their bitmaps allow, and a pair
+    (a, a) for each node of which pairs were left out.
+
+    The nodes of a neighbourhood are compared band by band in blocks: each task gets two blocks of at
+    most about ``BLOCK_NODES`` bitmaps, so neither pairs nor a whole neighbourhood are ever rows of
+    one task.  Of the pairs that pass, a task names so many that grow with its nodes only: the nearest
+    ``partners`` of each node or, for 0, a forest over all components that pairs connect."""
     band = F.length(F.bin("n")) - 1
     higher = F.col("n") * t.denominator >= F.expr(f"shiftleft({t.numerator}L, length(bin(n)))")
-    banded = members.join(own, "node").withColumn("band", F.explode(F.when(higher, F.array(band, band + 1)).otherwise(F.array(band))))
-    sizes = banded.groupBy("hood", "band").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
+    banded = members.join(placed, "node").withColumn("band", F.explode(F.when(higher, F.array(band, band + 1)).otherwise(F.array(band))))
+    sizes = banded.groupBy("hood", "band").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").drop("r", "s")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
         banded.join(sizes, ["hood", "band"])
@@ -355,13 +369,26 @@ def _across(postings: DataFrame, nodes: DataFrame, roots: DataFrame, t: Fraction
         left = np.flatnonzero(rows["block"] == rows["i"])
         right = np.flatnonzero(rows["block"] == rows["j"])
         same = rows["i"].iloc[0] == rows["j"].iloc[0]
+        tree, left_out = np.unique(root, return_inverse=True)[1], np.zeros(len(rows), dtype=bool)
         found = []
         for k, x in enumerate(left):
             others = right[k + 1 :] if same else right
             both = n[x] + n[others]
             apart = np.bitwise_count(maps[x] ^ maps[others]).sum(axis=1, dtype=np.int64)
-            fits = others[((t.numerator + t.denominator) * (both - apart) >= 2 * t.numerator * both) & (root[others] != root[x])]
-            found += [(min(node[x], node[y]), max(node[x], node[y])) for y in fits]
+            fits = ((t.numerator + t.denominator) * (both - apart) >= 2 * t.numerator * both) & (root[others] != root[x])
+            if not fits.any():
+                continue
+            others = others[fits][np.argsort(apart[fits], kind="stable")]
+            if partners:
+                named = others[:partners]
+            else:
+                met, first = np.unique(tree[others], return_index=True)
+                named = others[first[met != tree[x]]]
+                tree[np.isin(tree, met)] = tree[x]
+            if len(named) < len(others):
+                left_out[x] = left_out[np.setdiff1d(others, named)] = True
+            found += [(min(node[x], node[y]), max(node[x], node[y])) for y in named]
+        found += [(x, x) for x in node[left_out]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("hood", "band", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
@@ -436,12 +463,26 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
         links = links.unionByName(stage(_verify(docs, rest, nodes, words, t)))
         roots = connected_components(links)
     release(docs.sparkSession)
-    # round 3: lists of the second pass that still span components
+    # round 3: lists of the second pass that still span components.  A pass verifies some pairs of each
+    # node; the next one looks at nodes of which pairs were left out, where they are still apart
     if postings is not None:
-        across = stage(_across(postings, nodes, roots, t).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
-        if not across.isEmpty():
-            links = links.unionByName(stage(_verify(docs, across, nodes, words, t)))
-            roots = connected_components(links)
+        placed, partners, tested = stage(_placed(nodes, nodes, roots)), 0, candidates.select("a", "b")
+        members = stage(_hoods(postings, placed))
+        while not members.isEmpty():
+            compared = stage(_across(members, placed, t, partners))
+            across = stage(compared.where("a <> b").join(tested, ["a", "b"], "left_anti"))
+            before = [placed, members, compared]
+            members = stage(members.join(compared.where("a = b").select(F.col("a").alias("node")), "node", "left_semi"))
+            if not across.isEmpty():
+                links = links.unionByName(stage(_verify(docs, across, nodes, words, t)))
+                roots = connected_components(links)
+            tested, partners = tested.unionByName(across), max(PARTNERS, 8 * partners)
+            placed = stage(_placed(nodes.join(members, "node", "left_semi"), nodes, roots))
+            for done in before:
+                drop_stage(done)
+            release(docs.sparkSession)
+        for done in (placed, members):
+            drop_stage(done)
     release(docs.sparkSession)
     member = nodes.join(roots, nodes["key"] == roots["a"], "left").select("key", "doc_id", F.coalesce("b", "key").alias("root"))
     named = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -135,3 +135,39 @@ def test_one_of_each_group_with_null_and_repeated_ids(spark):
     assert len(kept([(7, near[0]), (7, near[1]), (7, near[0])])) == 1
     assert len(kept([(None, near[0]), (None, near[1]), (None, near[0])])) == 1
     assert kept([(3, ""), (3, ""), (None, None), (4, alone), (4, alone)]) == sorted([(3, ""), (3, ""), (None, None), (4, alone)], key=repr)
+
+
+def near_copies(seed, n, length, most):
+    """Copies of one text, each with one to ``most`` other words: about as alike as the threshold asks."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(length)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.sample(range(length), rng.randrange(1, most + 1)):
+            own[at] = f"v{rng.randrange(10**9)}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_a_group_of_near_copies_is_verified_by_few_pairs_a_member(spark, monkeypatch):
+    """What the rounds before leave apart, here everything, is not verified pair by pair."""
+    verified, verify, possible = [], J._verify, J._possible
+    monkeypatch.setattr(J, "FREQUENT", 2)
+    monkeypatch.setattr(J, "_possible", lambda *args: possible(*args).where("false"))
+    monkeypatch.setattr(J, "_verify", lambda docs, pairs, *rest: verified.append(pairs.count()) or verify(docs, pairs, *rest))
+    rows = near_copies(4, 150, 120, 1)
+    assert run(spark, rows, 5, Fraction(4, 5)) == brute(rows, 5, Fraction(4, 5))
+    assert 149 <= sum(verified) <= 10 * len(rows)
+
+
+@pytest.mark.parametrize("block", [8, 8192])
+def test_passes_over_near_misses_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "FREQUENT", 2)
+    monkeypatch.setattr(J, "BLOCK_NODES", block)
+    monkeypatch.setattr(J, "PARTNERS", 1)
+    passes, across = [], J._across
+    monkeypatch.setattr(J, "_across", lambda *args: passes.append(args[-1]) or across(*args))
+    rows = [(100 * group + k, text) for group in range(3) for k, text in near_copies(group, 30, 40, 2)]
+    assert run(spark, rows, 5, Fraction(4, 5)) == brute(rows, 5, Fraction(4, 5))
+    assert passes[:2] == [0, 1]
