@@ -144,3 +144,49 @@ def test_ranking_crosses_to_python_twice(spark):
     assert ranked._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
     both = M.with_both_forms(hits).select("forms", "query_forms", "title_nfkc").collect()
     assert both == M.with_query_forms(M.with_item_forms(hits)).select("forms", "query_forms", "title_nfkc").collect()
+
+
+def test_a_title_is_compared_once_however_many_items_carry_it(spark):
+    """Copies of a title used to be joined, given their token lists and scored one by one."""
+    from shelflink.operators.search import answers, search_titles
+
+    items = spark.createDataFrame([(i, "s", "t", i, "the same old title" if i % 2 else f"other {i} title") for i in range(60)], "item_id int, store string, step_id string, pos int, title string")
+    asked = spark.createDataFrame([("the same old title",), ("title",), ("nothing",)], "query string")
+    hits = search_titles(asked, items)
+    assert hits.titles.count() == 31 and hits.found.count() == 1 + 31
+    got = sorted((r.query, r.item_id, r.pos) for r in answers(hits).collect())
+    assert got == sorted([("the same old title", i, k) for k, i in enumerate(range(1, 60, 2))] + [("title", i, i) for i in range(60)])
+
+
+def test_answers_are_placed_before_they_carry_the_query(spark):
+    """Rows of the answer are dealt as numbers; a pair is only compared where the title holds two rare words of the query."""
+    items = spark.createDataFrame([(i, "s", "t", i, f"w{i % 7} w{i % 5} common word") for i in range(70)], "item_id int, store string, step_id string, pos int, title string")
+    asked = spark.createDataFrame([("w1 w2 common word",), ("w3 common",)], "query string")
+    found = search_catalogue(asked, items)
+    words = {r.item_id: set(r.title.split()) for r in items.collect()}
+    want = {(q.query, i) for q in asked.collect() for i, w in words.items() if 10 * len(w & set(q.query.split())) >= 7 * len(q.query.split())}
+    assert {(r.query, r.item_id) for r in found.collect()} == want != set()
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    placing = [line for line in plan if "Window [" in line]
+    assert placing and not any("query#" in line for line in placing)
+    assert any("Filter" in line and "_k#" in line for line in plan)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("abcあ漢😀", max_size=90), st.text("abcあ漢😀", max_size=90)), min_size=1, max_size=6))
+def test_the_strongest_overlap_is_that_of_measuring_everything(pairs):
+    left, right = [a for a, _ in pairs] + ["a" * 4500, "abc"], [b for _, b in pairs] + ["b" + "a" * 4400, "abc" * 700]
+    dice, lcs = S.overlap_arrays(left, right)
+    fast, longest = S.strongest_arrays(left, right)
+    assert fast.tolist() == dice.tolist()
+    assert [max(d, l) for d, l in zip(fast, longest)] == [max(d, l) for d, l in zip(dice, lcs)]
+    assert [l > d for d, l in zip(fast, longest)] == [l > d for d, l in zip(dice, lcs)]
+
+
+def test_a_longest_subsequence_that_cannot_win_is_not_measured(monkeypatch):
+    measured = []
+    monkeypatch.setattr(S, "_lcs_words", lambda a, la, b, plain=S._lcs_words: measured.append(len(a)) or plain(a, la, b))
+    monkeypatch.setattr(S, "_lcs_long", lambda a, b, plain=S._lcs_long: measured.append(1) or plain(a, b))
+    title = "the quick brown fox " * 200
+    dice, lcs = S.strongest_arrays([title[:40], "abcd"], [title, "abxd"])
+    assert measured == [1] and lcs.tolist()[1] == 75 and dice.tolist()[0] == S.overlap_arrays([title[:40]], [title])[0][0]
