@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Config
 from ..functions import text as X
-from ..functions.scores import score_pairs
+from ..functions.scores import best_score
 from ..functions.sql import case, let
 
 
@@ -55,46 +55,55 @@ def with_both_forms(hits: DataFrame, title: str = "title", queries: str = "queri
 
 
 def score_rows(
-    rows: DataFrame, keys: list[str], payload: list[str], cfg: Config = DEFAULTS, scores: DataFrame | None = None
+    rows: DataFrame, keys: list[str], payload: list[str], cfg: Config = DEFAULTS, scores: DataFrame | None = None, once: bool = False
 ) -> DataFrame:
     """Best score of every row over all (query form, title form) pairs.
 
     ``rows`` carries ``query_forms``, ``forms``, ``title_nfkc`` and ``chapter_hint``.
-    A row has at most 2 queries x 3 forms x 3 title forms.  All pairs of a row are
-    exploded in the task that holds the row, so the map-side combine folds them back
-    before the shuffle.  Of equal scores the first pair wins; penalties push fallback
+    A row has at most 2 queries x 3 forms x 3 title forms; all its pairs are scored where the row
+    is, and rows of the same keys become one after that, unless it is known that each has its own
+    (``once``).  Of equal scores the first pair wins; penalties push fallback
     queries back.  Where ``scores(a, b, score, method)`` of distinct forms are known already they
     are joined instead of computed again; pairs they lack are below their floor and count 0.
     """
-    pairs = rows.withColumn(
-        "_pair",
-        F.explode_outer(
-            F.expr(
-                "flatten(transform(query_forms, (q, i) -> transform(forms, (f, j) ->"
-                " named_struct('qpos', q.pos, 'qtext', q.query, 'a', q.form, 'b', f, 'ord', i * 16 + j))))"
-            )
-        ),
+    penalty = lambda pos: case(
+        *[(f"{pos} = {i}", str(p)) for i, p in enumerate(cfg.variant_penalties[:-1])],
+        default=str(cfg.variant_penalties[-1]),
     )
-    flat = pairs.select(*keys, *payload, "title_nfkc", "chapter_hint", "query_forms", "_pair.*")
     if scores is None:
-        scored = score_pairs(flat)
+        forms = "transform(query_forms, q -> q.form)"
+        penalties = f"transform(query_forms, q -> {penalty('q.pos')})"
+        best = rows.withColumn("_found", best_score(F.expr(forms), F.expr(penalties), "forms")).select(
+            *keys, *payload, "title_nfkc", "chapter_hint", F.expr("query_forms[0].query").alias("_first_query"),
+            F.expr("named_struct('_adjusted', _found._adjusted, 'raw', _found.raw, 'method', _found.method, 'query', get(query_forms, _found.at).query)").alias("_best"),
+            F.expr("coalesce(_found.at, 0)").alias("_at"),
+        )
+        if not once:
+            others = ["title_nfkc", "chapter_hint", "_first_query", *payload]
+            best = best.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in others], F.max_by("_best", F.struct("_best._adjusted", -F.col("_at"))).alias("_best"))
     else:
+        pairs = rows.withColumn(
+            "_pair",
+            F.explode_outer(
+                F.expr(
+                    "flatten(transform(query_forms, (q, i) -> transform(forms, (f, j) ->"
+                    " named_struct('qpos', q.pos, 'qtext', q.query, 'a', q.form, 'b', f, 'ord', i * 16 + j))))"
+                )
+            ),
+        )
+        flat = pairs.select(*keys, *payload, "title_nfkc", "chapter_hint", "query_forms", "_pair.*")
         scored = flat.join(scores, ["a", "b"], "left").fillna(0, ["score"]).fillna("none", ["method"])
-    penalty = case(
-        *[(f"qpos = {i}", str(p)) for i, p in enumerate(cfg.variant_penalties[:-1])],
-        default=str(cfg.variant_penalties[-1]),
-    )
-    adjusted = scored.withColumn("_adjusted", F.expr(f"greatest(0, score - {penalty})"))
-    best = adjusted.groupBy(*keys).agg(
-        F.any_value("title_nfkc").alias("title_nfkc"),
-        F.any_value("chapter_hint").alias("chapter_hint"),
-        F.any_value(F.expr("query_forms[0].query")).alias("_first_query"),
-        *[F.any_value(c).alias(c) for c in payload],
-        F.max_by(
-            F.struct("_adjusted", F.col("score").alias("raw"), "method", F.col("qtext").alias("query")),
-            F.struct("_adjusted", -F.col("ord")),
-        ).alias("_best"),
-    )
+        adjusted = scored.withColumn("_adjusted", F.expr(f"greatest(0, score - {penalty('qpos')})"))
+        best = adjusted.groupBy(*keys).agg(
+            F.any_value("title_nfkc").alias("title_nfkc"),
+            F.any_value("chapter_hint").alias("chapter_hint"),
+            F.any_value(F.expr("query_forms[0].query")).alias("_first_query"),
+            *[F.any_value(c).alias(c) for c in payload],
+            F.max_by(
+                F.struct("_adjusted", F.col("score").alias("raw"), "method", F.col("qtext").alias("query")),
+                F.struct("_adjusted", -F.col("ord")),
+            ).alias("_best"),
+        )
     hinted = (
         f"chapter_hint > 0 and _best._adjusted >= {cfg.possible} and"
         " rlike(title_nfkc, concat('(?:^|[^0-9])', chapter_hint, '(?:[^0-9]|$)'))"
@@ -111,7 +120,7 @@ def score_rows(
             "method": F.expr(f"if({nothing}, 'none', _best.method)"),
             "matched_query": F.expr(f"if({nothing}, coalesce(_first_query, ''), _best.query)"),
         }
-    ).drop("_best", "_first_query", "title_nfkc", "chapter_hint")
+    ).drop("_best", "_at", "_first_query", "title_nfkc", "chapter_hint")
 
 
 def rank_candidates(hits: DataFrame, key: str = "request_id", cfg: Config = DEFAULTS) -> DataFrame:

@@ -66,9 +66,11 @@ def _with_answers(
     cached: DataFrame | None,
     cfg: Config,
     only: Sql = "true",
+    titles: DataFrame | None = None,
 ) -> DataFrame:
     """request x planned step x item rows; a step without items is one row.  ``only`` is a
-    condition on the step."""
+    condition on the step.  Where ``titles`` has the titles and their forms, items name them by ``_i``
+    and get them last, so that until then rows are numbers."""
     steps_asked = f"filter({planned_steps('queries', cfg)}, step -> {only})"
     plan = requests.withColumn("_step", F.explode(F.expr(steps_asked)))
     # a store is scored with the queries it was asked: all forms of the first ones
@@ -80,9 +82,9 @@ def _with_answers(
         F.col(c) if c in search_items.columns else F.lit(None).cast(_ITEM_TYPES.get(c, "string")).alias(c)
         for c in ITEM_FIELDS
     ]
-    formed = search_items if "forms" in search_items.columns else M.with_item_forms(search_items)
+    formed = search_items if titles is not None or "forms" in search_items.columns else M.with_item_forms(search_items)
     items = formed.select(
-        "store", "step_id", "query", "pos", "title_nfkc", "forms", F.struct(*payload).alias("item")
+        "store", "step_id", "query", "pos", *(["title_nfkc", "forms"] if titles is None else ["_i"]), F.struct(*payload).alias("item")
     )
     if search_steps is None:
         # a catalogue answers every step; nothing found is an explicit "not found"
@@ -108,6 +110,11 @@ def _with_answers(
             )
             .join(items, ["store", "step_id", "query"], "left")
         )
+    if titles is not None:
+        # rows without an item have no number: spread them instead of joining on null
+        own = titles.select(F.col("_i").alias("_t"), F.col("title").alias("_title"), "title_nfkc", "forms").hint("merge")
+        joined = joined.withColumn("_t", F.expr("coalesce(_i, -1 - pmod(xxhash64(request_id, step_ord), 1000000007))")).join(own, "_t", "left")
+        joined = joined.withColumn("item", F.when(F.col("item").isNotNull(), F.col("item").withField("title", F.col("_title")))).drop("_i", "_t", "_title")
     if cached is None:
         return joined.withColumns({"from_cache": F.lit(False), "cache_entry_found": F.lit(False)})
     asked = f"slice(queries, 1, if(store_rank = 0, {cfg.searched_variants}, {cfg.searched_variants_other}))"
@@ -168,8 +175,8 @@ def _executed(rows: DataFrame, cfg: Config) -> DataFrame:
 
 
 #: What a round asks: the open requests' (store, step_id, query), answered by items and, where
-#: known, scores of their forms.
-Search = Callable[[DataFrame], tuple[DataFrame, DataFrame | None]]
+#: known, scores of their forms and the titles that items name by ``_i``.
+Search = Callable[[DataFrame], tuple[DataFrame, DataFrame | None] | tuple[DataFrame, None, DataFrame]]
 
 
 def from_table(search_items: DataFrame, scores: DataFrame | None = None) -> Search:
@@ -178,6 +185,13 @@ def from_table(search_items: DataFrame, scores: DataFrame | None = None) -> Sear
     return lambda asked: (formed.join(asked, ["store", "step_id", "query"], "left_semi"), scores)
 
 
+def from_numbers(found: DataFrame, titles: DataFrame) -> Search:
+    """Answers that name their titles by ``_i``, unique by ``store, step_id, query, pos``; a round
+    reads the rows of its own steps."""
+    held = stage(found, by=("store", "step_id"))
+    return lambda asked: (held.join(asked, ["store", "step_id", "query"], "left_semi"), None, titles)
+
+
 def answer_requests(
     requests: DataFrame,
     search: DataFrame | Search,
@@ -238,8 +252,11 @@ def _round(open_, search: Search, search_steps, cached, cfg: Config, store: str,
     """Scored rows of one store's steps of one tier."""
     only = f"step.store = {quote(store)} and step.tier = {tier}"
     asked = open_.select(F.explode(F.expr(f"filter({planned_steps('queries', cfg)}, step -> {only})")).alias("s")).select("s.store", "s.step_id", "s.query").distinct()
-    items, scores = search(asked)
-    rows = stage(_scored(_with_answers(open_, items, search_steps, cached, cfg, only), cfg, scores))
+    items, scores, *titles = search(asked)
+    steps = [step for step, number in _tiers(store) if number == tier]
+    items = items.where((F.col("store") == store) & F.col("step_id").isin(steps))
+    once = bool(titles) and search_steps is None
+    rows = stage(_scored(_with_answers(open_, items, search_steps, cached, cfg, only, *titles), cfg, scores, once))
     release(open_.sparkSession)
     return rows
 
@@ -247,8 +264,8 @@ def _round(open_, search: Search, search_steps, cached, cfg: Config, store: str,
 _PAYLOAD = ["store_rank", "tier", "step_id", "query", "http_status", "ok", "step_reason", "from_cache", "cache_entry_found", "item"]
 
 
-def _scored(rows: DataFrame, cfg: Config, scores: DataFrame | None = None) -> DataFrame:
-    scored = M.score_rows(rows, ["request_id", "store", "step_ord", "pos"], _PAYLOAD, cfg, scores)
+def _scored(rows: DataFrame, cfg: Config, scores: DataFrame | None = None, once: bool = False) -> DataFrame:
+    scored = M.score_rows(rows, ["request_id", "store", "step_ord", "pos"], _PAYLOAD, cfg, scores, once)
     return scored.withColumn("score", F.expr("if(item is null, null, score)"))
 
 

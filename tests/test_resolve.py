@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelflink.config import DEFAULTS
 from shelflink.operators import match as M
@@ -82,3 +83,42 @@ def test_known_scores_give_the_same_best(spark):
     pairs = all_pairs(rows.selectExpr("explode(query_forms.form) as a"), rows.selectExpr("explode(forms) as b"), DEFAULTS.min_candidate)
     best = lambda s: sorted((r.pos, r.score, r.method, r.matched_query) for r in M.score_rows(rows, ["request_id", "pos"], [], scores=s).collect() if r.score >= 50)
     assert best(pairs) == best(None) and len(best(None)) >= 3
+
+
+def test_a_search_by_numbers_gives_what_whole_rows_give(spark):
+    """Rounds used to shuffle every answer with its titles' forms, and to fold exploded pairs by a shuffle."""
+    from shelflink.operators.match import with_item_forms
+    from shelflink.operators.search import search_catalogue
+    from shelflink.plans import tables as T
+
+    words = ["quiet", "morning", "letters", "第2巻", "夜明け", "ノート", "old"]
+    rows = [(i, s, step, i, f"D{i}", " ".join(words[(i * k) % 7] for k in (1, 2, 3 + i % 2)), i, "JPY")
+            for i, (s, step) in enumerate([("dlsite", "primary"), ("dlsite", "female"), ("fanza", "search"), ("pixiv", "tag"), ("pixiv", "title-caption")] * 9)]
+    items = spark.createDataFrame(rows, "item_id int, store string, step_id string, pos int, product_id string, title string, price int, currency string")
+    asked = [["quiet morning letters"], ["夜明け ノート", "old letters"], ["letters 夜明け old 第2巻", "ノート"], ["nothing here"]]
+    requests = M.with_query_forms(spark.createDataFrame([(f"r{k}", q, 2 if k == 2 else None) for k, q in enumerate(asked)], "request_id string, queries array<string>, chapter_hint int")).cache()
+    queries = requests.selectExpr("explode(queries) as query")
+    formed = with_item_forms(items)
+    whole = R.from_table(search_catalogue(queries, formed).join(formed.drop("store", "step_id", "pos"), "item_id"))
+    numbers = T.keyword_search(requests, items)
+    found, _, titles = numbers(queries.selectExpr("'pixiv' as store", "'tag' as step_id", "query"))
+    assert {"title", "forms", "title_nfkc"} <= set(titles.columns) and not {"title", "forms", "title_nfkc"} & set(found.columns)
+    plan = found.where("store = 'pixiv' and step_id in ('tag')")._jdf.queryExecution().executedPlan().toString()
+    assert any("PartitionFilters: [" in line and "pixiv" in line.split("PartitionFilters: [")[1].split("]")[0] for line in plan.splitlines())
+    rows_of = lambda search: sorted(map(repr, (r.asDict(True) for r in R.staged_answers(requests, search).collect())))
+    got = rows_of(numbers)
+    assert got == rows_of(whole) and any("'kind': 'possible'" in r or "'kind': 'high" in r for r in got)
+
+
+def test_rows_are_scored_where_they_are(spark):
+    """Best of all pairs of forms, penalties, first of equals; rows of the same keys become one unless they are known to be single."""
+    rows = spark.createDataFrame(
+        [("r", 0, [(0, "abc", "abc"), (1, "xyz", "xyz")], ["xyz", "abcd"], "t"), ("r", 0, [(0, "abc", "abc")], ["abc"], "t"), ("r", 1, [(0, "abc", "abc")], None, None)],
+        "request_id string, pos int, query_forms array<struct<pos:int,query:string,form:string>>, forms array<string>, title_nfkc string",
+    ).withColumn("chapter_hint", F.lit(None).cast("int"))
+    out = M.score_rows(rows, ["request_id", "pos"], [])
+    assert [(r.pos, r.score, r.raw_score, r.method, r.matched_query) for r in out.orderBy("pos").collect()] == [(0, 100, 100, "exact", "abc"), (1, 0, 0, "none", "abc")]
+    single = M.score_rows(rows, ["request_id", "pos"], [], once=True)
+    assert sorted((r.score, r.raw_score, r.matched_query) for r in single.collect()) == [(0, 0, "abc"), (95, 100, "xyz"), (100, 100, "abc")]
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
