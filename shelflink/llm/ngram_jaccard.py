@@ -17,7 +17,8 @@ shingles that come first in any common order (the prefix) contain a shared one.
 
 Links are verified in rounds, each against few centres: first every node with its best partner,
 then candidate pairs that are still in different components, last what long lists still hold apart.
-That is compared by bitmaps in blocks, in passes: first each block names a forest of the pairs that
+That is compared by bitmaps, in passes: equal lists once; list by list where that is fewer pairs, else
+all lists that share nodes together, in blocks.  First each block names a forest of the pairs that
 pass, then every node its nearest partners in other components, eight times as many in each pass,
 until no pair was left out between components.  Pairs inside a component need no verification, so a
 large group of near copies costs a few comparisons a member, and yet no link between components is
@@ -58,6 +59,8 @@ SMALL_SIDE = 1_000_000
 BLOCK_NODES = 8192
 #: Partners that a node of long lists names in the second pass; eight times as many in each further one.
 PARTNERS = 8
+#: Nodes of a list whose pairs are listed as they are, and pairs so listed by one task; longer lists are blocks.
+LIST_NODES, LIST_PAIRS = 1024, 1 << 20
 #: Nodes that share a part of the inverted index.
 PART_NODES = 8192
 _U = np.uint64
@@ -334,12 +337,86 @@ def _placed(some: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _hoods(postings: DataFrame, placed: DataFrame) -> DataFrame:
-    """(node, hood) of the nodes in lists that span components; lists that share nodes are one
-    neighbourhood."""
+    """(node, hood, part) of the nodes in lists that span components; of equal lists one is kept.  Lists that
+    share nodes are one neighbourhood; where its lists hold fewer pairs than all its nodes, each of them
+    is a hood of its own, and the short ones are dealt over parts."""
     open_ = stage(postings.join(placed.select("node", "root"), "node").groupBy("signature").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("signature"))
-    edges = stage(postings.join(open_, "signature").select("node", F.col("a").alias("first")).distinct())
-    hoods = connected_components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    return edges.select("node").distinct().join(hoods, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("hood"))
+    held = stage(postings.join(open_, "signature").select("signature", "node", F.col("a").alias("first")).distinct())
+    own = held.groupBy("signature", "first").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    lists = stage(own.groupBy("first", "c", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "first", "c"))
+    edges = stage(held.join(lists.select("signature"), "signature"))
+    joined = connected_components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    of = stage(edges.select("node").distinct().join(joined, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("hood")))
+    placed_lists = lists.join(of.withColumnRenamed("node", "first"), "first")
+    pairs = placed_lists.groupBy("hood").agg(F.sum(F.col("c") * F.col("c")).alias("listed"))
+    sizes = of.groupBy("hood").agg(F.count("*").alias("nodes")).join(pairs, "hood").withColumn("apart", F.col("listed") < F.col("nodes") * F.col("nodes"))
+    chosen = stage(placed_lists.join(sizes.select("hood", "apart"), "hood"))
+    whole = of.join(chosen.where("not apart").select("hood").distinct(), "hood").select("node", "hood", F.lit(None).cast("long").alias("part"))
+    listed = chosen.where("apart").select("signature", "c")
+    work = listed.where(F.col("c") <= LIST_NODES).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
+    part = F.when(F.col("c") <= LIST_NODES, F.pmod(F.xxhash64("signature"), F.lit(-(-work // (2 * LIST_PAIRS)) or 1)))
+    return whole.unionByName(edges.join(listed, "signature").select("node", F.col("signature").alias("hood"), part.cast("long").alias("part")))
+
+
+def _pairs_of_lists(rows: pd.DataFrame, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
+    """The distinct pairs (x, y, apart) of nodes that are in one list, in different components, and that
+    sizes and bitmaps allow, and the nodes they are places of."""
+    nodes = rows.drop_duplicates("node").reset_index(drop=True)
+    n, root = nodes["n"].to_numpy(), nodes["root"].to_numpy()
+    at = pd.Series(np.arange(len(nodes)), index=nodes["node"]).loc[rows["node"]].to_numpy()
+    order = np.argsort(rows["hood"].to_numpy(), kind="stable")
+    hood, at = rows["hood"].to_numpy()[order], at[order]
+    starts = np.flatnonzero(np.append(True, hood[1:] != hood[:-1]))
+    length = np.diff(np.append(starts, len(hood)))
+    keys = [np.zeros(0, dtype=np.int64)]
+    for size in np.unique(length[length > 1]):
+        first = starts[length == size]
+        i, j = np.triu_indices(size, 1)
+        step = max(1, LIST_PAIRS // len(i))
+        for k in range(0, len(first), step):
+            x, y = at[first[k : k + step, None] + i].ravel(), at[first[k : k + step, None] + j].ravel()
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            fits = (root[x] != root[y]) & (t.denominator * np.minimum(n[x], n[y]) >= t.numerator * np.maximum(n[x], n[y]))
+            keys.append(np.unique(x[fits] * len(nodes) + y[fits]))
+    keys = np.unique(np.concatenate(keys))
+    x, y = np.divmod(keys, max(len(nodes), 1))
+    width = nodes["bitmap"].map(len).to_numpy()
+    least, apart = np.minimum(width[x], width[y]), np.zeros(len(keys), dtype=np.int64)
+    for w in np.unique(least):
+        some = np.flatnonzero(least == w)
+        used, place = np.unique(np.concatenate([x[some], y[some]]), return_inverse=True)
+        maps = np.stack([_fold(np.frombuffer(nodes["bitmap"][k], dtype=np.uint8), int(w)) for k in used]).view(np.uint64)
+        left, right = np.split(place, 2)
+        step = max(1, (1 << 23) // int(w))
+        for k in range(0, len(some), step):
+            apart[some[k : k + step]] = np.bitwise_count(maps[left[k : k + step]] ^ maps[right[k : k + step]]).sum(axis=1, dtype=np.int64)
+    both = n[x] + n[y]
+    near = (t.numerator + t.denominator) * (both - apart) >= 2 * t.numerator * both
+    return x[near], y[near], apart[near], nodes
+
+
+def _named(x: np.ndarray, y: np.ndarray, apart: np.ndarray, nodes: pd.DataFrame, partners: int) -> list[tuple[int, int]]:
+    """Of pairs the nearest ``partners`` of each node or, for 0, a forest over all components they connect, and
+    a pair (a, a) for each node of which pairs were left out."""
+    node, root = nodes["node"].tolist(), nodes["root"].tolist()
+    top: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while (up := top.get(r, r)) != r:
+            r = up
+        return r
+
+    found, named, left_out = [], [0] * len(nodes), set()
+    for k in np.argsort(apart, kind="stable").tolist():
+        i, j = int(x[k]), int(y[k])
+        r, s = find(root[i]), find(root[j])
+        if min(named[i], named[j]) < partners if partners else r != s:
+            top[max(r, s)] = min(r, s)
+            named[i], named[j] = named[i] + 1, named[j] + 1
+            found.append((min(node[i], node[j]), max(node[i], node[j])))
+        else:
+            left_out |= {node[i], node[j]}
+    return found + [(v, v) for v in left_out]
 
 
 def _across(members: DataFrame, placed: DataFrame, t: Fraction, partners: int) -> DataFrame:
@@ -349,7 +426,14 @@ def _across(members: DataFrame, placed: DataFrame, t: Fraction, partners: int) -
     The nodes of a neighbourhood are compared band by band in blocks: each task gets two blocks of at
     most about ``BLOCK_NODES`` bitmaps, so neither pairs nor a whole neighbourhood are ever rows of
     one task.  Of the pairs that pass, a task names so many that grow with its nodes only: the nearest
-    ``partners`` of each node or, for 0, a forest over all components that pairs connect."""
+    ``partners`` of each node or, for 0, a forest over all components that pairs connect.  Of short lists
+    a task gets whole ones, lists their pairs and names among these in the same way."""
+
+    def compare_lists(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_named(*_pairs_of_lists(rows, t), partners), columns=["a", "b"], dtype="int64")
+
+    listed = members.where("part is not null").join(placed, "node").groupBy("part").applyInPandas(compare_lists, "a bigint, b bigint")
+    members = members.where("part is null").drop("part")
     band = F.length(F.bin("n")) - 1
     higher = F.col("n") * t.denominator >= F.expr(f"shiftleft({t.numerator}L, length(bin(n)))")
     banded = members.join(placed, "node").withColumn("band", F.explode(F.when(higher, F.array(band, band + 1)).otherwise(F.array(band))))
@@ -391,7 +475,7 @@ def _across(members: DataFrame, placed: DataFrame, t: Fraction, partners: int) -
         found += [(x, x) for x in node[left_out]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("hood", "band", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return dealt.groupBy("hood", "band", "i", "j").applyInPandas(compare, "a bigint, b bigint").unionByName(listed).distinct()
 
 
 def _apart(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:

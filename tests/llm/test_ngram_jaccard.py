@@ -171,3 +171,34 @@ def test_passes_over_near_misses_lose_no_link(spark, monkeypatch, block):
     rows = [(100 * group + k, text) for group in range(3) for k, text in near_copies(group, 30, 40, 2)]
     assert run(spark, rows, 5, Fraction(4, 5)) == brute(rows, 5, Fraction(4, 5))
     assert passes[:2] == [0, 1]
+
+
+def test_lists_that_chain_nodes_together_are_compared_list_by_list(spark):
+    """One passage after the other links neighbours only; all nodes of the chain used to meet each other."""
+    t = Fraction(4, 5)
+    rows = [(100 * group + k, text) for group in range(12) for k, text in near_copies(group, 6, 40, 2)]
+    sets = {i: J.shingle_set(np.frombuffer(text.encode(), dtype=np.uint8), 5) for i, text in rows}
+    placed = spark.createDataFrame([(i, len(x), bytearray(J._bitmap(x)), i) for i, x in sets.items()], "node bigint, n bigint, bitmap binary, root bigint")
+    lists = {g: [100 * g + k for k in range(6)] for g in range(12)} | {50 + g: [100 * g + 5, 100 * g + 100] for g in range(11)}
+    lists |= {80 + g: lists[g] for g in range(12)}
+    postings = spark.createDataFrame([(s, v, min(nodes)) for s, nodes in lists.items() for v in nodes + nodes[:1]], "signature bigint, node bigint, a bigint")
+    members = J._hoods(postings, placed).collect()
+    assert sorted({r.hood for r in members}) == [*range(12), *range(50, 61)] and all(r.part is not None for r in members)
+    assert len(members) == 12 * 6 + 11 * 2
+    held = spark.createDataFrame(members, "node bigint, hood bigint, part bigint")
+    every = {(r.a, r.b) for r in J._across(held, placed, t, 1000).collect()}
+    like = lambda x, y: len(np.intersect1d(sets[x], sets[y])) / len(np.union1d(sets[x], sets[y]))
+    pairs = {(min(x, y), max(x, y)) for nodes in lists.values() for x in nodes for y in nodes if x != y}
+    assert {p for p in pairs if like(*p) >= 0.8} <= every <= pairs and any(like(*p) >= 0.8 for p in pairs)
+    forest = {(r.a, r.b) for r in J._across(held, placed, t, 0).collect()}
+    assert {p for p in forest if p[0] != p[1]} <= every and {x for p in every - forest for x in p} <= {a for a, b in forest if a == b}
+
+
+@pytest.mark.parametrize("longest", [1, 4, 1024])
+def test_short_and_long_lists_lose_no_link(spark, monkeypatch, longest):
+    monkeypatch.setattr(J, "FREQUENT", 2)
+    monkeypatch.setattr(J, "PARTNERS", 1)
+    monkeypatch.setattr(J, "LIST_NODES", longest)
+    monkeypatch.setattr(J, "_possible", lambda *args, plain=J._possible: plain(*args).where("false"))
+    rows = [(100 * group + k, text) for group in range(4) for k, text in near_copies(20 + group, 12, 60, 3)]
+    assert run(spark, rows, 5, Fraction(4, 5)) == brute(rows, 5, Fraction(4, 5))
